@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_topn", "queries_tokens")
+MODULES = ("queries_topn", "queries_tokens", "queries_pieces")
 
 QUERIES: dict = {}
 SQL: dict = {}
