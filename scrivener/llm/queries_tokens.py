@@ -15,7 +15,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of ids of every document's text."""
-    return count_column(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return count_column(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
 QUERIES = {"p7_ids": p7_ids, "p7_counts": p7_counts}

@@ -27,24 +27,27 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def _run(df: DataFrame, key: str, text: str, path: str, schema: T.StructType, ids: bool) -> DataFrame:
+def _run(df: DataFrame, keys: list[str], text: str, path: str, ids: bool) -> DataFrame:
+    made = T.StructField("ids", T.ArrayType(T.IntegerType())) if ids else T.StructField("n_tokens", T.LongType())
+    schema = T.StructType([*[df.schema[k] for k in keys], made])
+    width = len(keys)
     shared = df.sparkSession.sparkContext.broadcast(bpe.load_vocabulary(path))  # fixed size: the vocabulary
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in it:
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
+            texts = ["" if t is None else t for t in batch.column(width).to_pylist()]
             for a, b in _chunks(texts):
-                keys = batch.column(0).slice(a, b - a)
+                own = [batch.column(i).slice(a, b - a) for i in range(width)]
                 if ids:
                     flat, size = bpe.encode(texts[a:b], v)
                     offsets = np.r_[0, np.cumsum(size)].astype(np.int32)
                     out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
                 else:
                     out = pa.array(bpe.count(texts[a:b], v), pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, out], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*own, out], names=schema.names)
 
-    return df.select(df[key], df[text]).mapInArrow(batches, schema)
+    return df.select(*[df[k] for k in keys], df[text]).mapInArrow(batches, schema)
 
 
 def encode_column(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -54,11 +57,9 @@ def encode_column(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABU
     Strings of special tokens inside a text are ordinary text. Whole texts of any length are encoded; other columns
     are dropped, an empty table gives no rows, repeated rows are encoded each.
     """
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return _run(df, key, text, path, schema, ids=True)
+    return _run(df, [key], text, path, ids=True)
 
 
-def count_column(df: DataFrame, key: str, text: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """``key`` and ``n_tokens``, the number of ids that ``encode_column`` gives; 0 for null and empty texts."""
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_tokens", T.LongType())])
-    return _run(df, key, text, path, schema, ids=False)
+def count_column(df: DataFrame, keys: list[str], text: str, path: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``keys`` and ``n_tokens``, the number of ids that ``encode_column`` gives; 0 for null and empty texts."""
+    return _run(df, keys, text, path, ids=False)
