@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("queries_topn", "queries_tokens", "queries_pieces", "queries_neighbours", "queries_mixture", "queries_abuse", "queries_language")
+MODULES = ("queries_topn", "queries_tokens", "queries_pieces", "queries_neighbours", "queries_mixture", "queries_abuse", "queries_language", "queries_scans")
 
 QUERIES: dict = {}
 SQL: dict = {}
