@@ -173,7 +173,11 @@ def _header_kind(lines: list[str], order: list[int], a: int, kinds: list[str], w
         return "header"
     # a line of running text goes to the margin or ends a sentence; this one does neither
     if 2 <= len(words) <= 5 and core[:1].isupper() and not re.search(r"[.!?] ", core):
-        if len(core) < (0.75 if edge or broken else 0.6) * max(wide, 40):
+        natural = bool(after) and len(raw) + 1 + len(after.split(" ", 1)[0]) > 0.95 * wide
+        strange = sum(len(w) > 3 and w.isalpha() and clean_word(w) not in known for w in words)
+        if not natural and (edge or broken or len(core) < 0.6 * max(wide, 40)):
+            return "header"
+        if strange >= 2 and (edge or broken):
             return "header"
     return None
 
