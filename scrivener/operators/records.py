@@ -31,7 +31,7 @@ class Rule:
 KEY_MESSAGE_RULES = (
     Rule("key_message_id", "match", r"\A[Kk][Mm]-[0-9]{3,6}\z"),
     Rule("key_message", "least_words", "3"),
-    Rule("key_message", "forbid", r"[�\x00-\x09\x0B\x0C\x0E-\x1F\x7F-\x9F]"),
+    Rule("key_message", "forbid", r"[\uFFFD\x00-\x09\x0B\x0C\x0E-\x1F\x7F-\x9F]"),
 )
 
 
