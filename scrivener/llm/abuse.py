@@ -84,7 +84,7 @@ dat volk is ongedierte en moet het land uit
 #: Letters of other alphabets and signs that look like Latin letters.
 _ALIKE = str.maketrans("аеорсухіјѕԁһвкмнтαορετικυ", "aeopcyxijsdhbkmhtaopetiku")
 _LEET = str.maketrans("013457@$|€!", "oieastasle" + "i")
-_HIDDEN = re.compile("[­​-‏⁠﻿︀-️]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff\ufe00-\ufe0f]")
 _MIXED = re.compile(r"\b(?=\w*[a-z])\w*[Ͱ-ԯ]\w*\b")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
 _LEETED = re.compile(r"(?<![\w@$|€])(?=[\w@$!|€]*[a-z]{2})(?=[a-z]*[013457@$!|€])(?:[a-z013457@$|€]|!(?=[a-z])){3,}(?![\w@$|€])")

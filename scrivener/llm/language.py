@@ -42,7 +42,7 @@ _NAMES = {
     "zho": "zh", "chi": "zh", "jp": "ja", "cn": "zh",
 }
 
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-­‐¬] ?\r?\n[ \t]*(?=[^\W\d_])")
+_BROKEN = re.compile("(?<=[^\\W\\d_])[-\u00ad\u2010\u00ac] ?\\r?\\n[ \\t]*(?=[^\\W\\d_])")
 _CUT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?![a-zß-öø-ÿа-я0-9])|(?<=[。！？])|(?:\r?\n[ \t]*){2,}|\s[|•·]\s|\t")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿々ー]{1,6}|[^\W\d_぀-ヿ㐀-鿿]+")
 _EAST = re.compile("[぀-ヿ㐀-鿿]")

@@ -33,7 +33,7 @@ _FOLDS = (
     (("ii", "n"), ("ri", "n"), ("rn", "m"), ("ci", "d"), ("ti", "d"), ("vv", "w")),
     (("ci", "d"), ("ti", "d"), ("ri", "n"), ("ii", "n"), ("rn", "m"), ("vv", "w")),
 )
-_BREAKS = "-‐‑¬­"
+_BREAKS = "-\u2010\u2011\u00ac\u00ad"
 _EDGE = "\"'“”‘’«»„.,;:?)]}…"
 _OPEN = "\"'“”‘’«»„([{"
 _DIGIT_LIKE = "0-9lIOoSsBZ!|"
