@@ -96,7 +96,7 @@ def alias_positions(texts: DataFrame, key: str, text: str, aliases: list[str]) -
 def fuzzy_brands(texts: DataFrame, key: str, text: str, aliases: DataFrame, least: float = 0.75) -> DataFrame:
     """``key, alias, score``: best likeness of a word of the text with an alias of six or more letters.
 
-    Distinct words of five or more characters meet aliases on their first three letters; 1 if the word holds the alias.
+    Distinct words of five or more characters meet aliases that begin alike or that they hold; 1 if they hold it.
     ``aliases`` holds ``alias``, distinct.
     """
     plain = F.regexp_replace(F.lower("alias"), "[^a-z0-9]", "")
@@ -104,7 +104,10 @@ def fuzzy_brands(texts: DataFrame, key: str, text: str, aliases: DataFrame, leas
     found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9-]+"), F.lit(0))
     words = texts.select(key, F.explode(F.array_distinct(F.transform(found, lambda w: F.regexp_replace(w, "[^a-z0-9]", "")))).alias("w"))
     words = words.where("length(w) >= 5")
-    pairs = words.select("w").distinct().withColumn("head", F.substring("w", 1, 3)).join(names, "head")
+    # an alias within a word has its first three letters somewhere in it
+    heads = F.expr("array_distinct(transform(sequence(1, length(w) - 2), i -> substring(w, i, 3)))")
+    pairs = words.select("w").distinct().withColumn("head", F.explode(heads)).join(names, "head")
+    pairs = pairs.where(F.col("w").startswith(F.col("head")) | F.col("w").contains(F.col("a"))).dropDuplicates(["w", "alias"])
 
     @F.pandas_udf("double")
     def likeness(a: pd.Series, w: pd.Series) -> pd.Series:

@@ -112,8 +112,8 @@ def best_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sentence of every document, at most 320 characters."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.sentences(text.clean_text(F.col("text"))).alias("s")).where("size(s) > 0")
-    return rows.select("doc_id", text.trim_to_word(F.col("s")[0], 320).alias("summary"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.first_sentence(text.clean_text(F.col("text"))).alias("s")).where("s <> ''")
+    return rows.select("doc_id", text.trim_to_word(F.col("s"), 320).alias("summary"))
 
 
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
