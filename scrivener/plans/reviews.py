@@ -282,7 +282,7 @@ QUERIES = {
     "tk2_message_ranks": message_ranks, "sm2_mapped_summary": mapped_summary, "w4_section_carried": section_carried, "js1_reply_status": reply_status,
 }
 
-_ALIASES = r"""
+ALIASES = r"""
     (select distinct brand_product, alias from (select brand_product, unnest(list_transform([b, p, f, trim(regexp_split_to_array(f, '[-\s/(]')[1])], lambda x: lower(x))) as alias
         from (select brand_product, b, p, trim(regexp_replace(p, '(?i)\b(tablets?|capsules?|drops?|syrups?|injections?|inhalers?|ointments?|cream|sachet|eye drops)\b', '', 'g')) as f
             from (select distinct brand_product, trim(brand_product) as b, trim(regexp_replace(trim(brand_product), '\(.*?\)', '', 'g')) as p from key_message_matches)))
@@ -310,7 +310,7 @@ SQL = {
     "ag3_engine_accuracy": f"select engine, coalesce(round(avg(quality_score) filter (confidence_score >= 0), 2), round(avg(quality_score), 2)) as accuracy from {sql.READS} group by 1",
     "ag4_quality_by_variant": f"select engine, selected_variant, count(*) as n, round(avg(quality_score), 4) as mean, min(quality_score) as least, max(quality_score) as most from {sql.READS} group by all",
     "ag5_method_counts": f"select upload_id, coalesce(metadata.extraction_method, 'unknown') as method, count(*) as units from {sql.UNITS} group by all",
-    "ag7_alias_counts": f"select alias, count(distinct brand_product) as brands from {_ALIASES} group by 1",
+    "ag7_alias_counts": f"select alias, count(distinct brand_product) as brands from {ALIASES} group by 1",
     "ag9_mean_confidence": "select engine, round(avg(least(1.0, confidence_score)) filter (confidence_score >= 0), 4) as confidence, round(sum(quality_score * greatest(coalesce(text_length, 0), 1)) / sum(greatest(coalesce(text_length, 0), 1)) filter (quality_score is not null), 4) as weighted_quality from (select distinct on (ocr_id) * from ocr_results) group by 1",
     "ag14_upload_warnings": f"""
         with w as (select upload_id, ocr_id, unnest(warnings) as warning, generate_subscripts(warnings, 1) as pos from {sql.READS}),
@@ -336,7 +336,7 @@ SQL = {
         s as (select item_id, vec_id, round(list_cosine_similarity(cast(i.v as double[]), cast(g.v as double[])), 6) as score from items i, good g)
         select item_id, vec_id, score, cast(row_number() over (partition by item_id order by score desc, vec_id) as int) as place from s qualify place <= 3""",
     "j3_first_brands": f"""
-        with a as (select distinct alias from {_ALIASES}), u as (select unit_id, lower(coalesce(text, '')) as t from {sql.UNITS}),
+        with a as (select distinct alias from {ALIASES}), u as (select unit_id, lower(coalesce(text, '')) as t from {sql.UNITS}),
         p as (select unit_id, alias, length(regexp_extract(' ' || t, '(?s)^(.*?[^a-z0-9])' || regexp_escape(alias) || '(?:[^a-z0-9]|$)', 1)) - 1 as position
             from u join a on contains(t, alias) where regexp_matches(' ' || t, '[^a-z0-9]' || regexp_escape(alias) || '(?:[^a-z0-9]|$)'))
         select unit_id, alias, cast(position as int) as position from p qualify row_number() over (partition by unit_id order by position, alias) = 1""",

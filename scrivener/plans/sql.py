@@ -33,14 +33,14 @@ def quality(x: str) -> str:
     """Of a cleaned text ``x``, as an expression over it."""
     w = rf"regexp_extract_all({x}, '[A-Za-z0-9][A-Za-z0-9%+./-]*')"
     letters = rf"len(regexp_extract_all({x}, '[A-Za-z]'))"
-    return rf"""case when {x} = '' then 0.0 when len({w}) = 0 or {letters} = 0 then 5.0 else round(greatest(0.0, least(100.0,
+    return rf"""case when {x} = '' then 0.0 when len({w}) = 0 or {letters} = 0 then 5.0 else floor(greatest(0.0, least(100.0,
         {letters} / length({x}) * 35.0 + len(list_distinct(list_transform({w}, lambda y: lower(y)))) / len({w}) * 25.0
-        + len(list_filter({w}, lambda y: length(y) >= 3)) / len({w}) * 20.0 + least(20.0, length({x}) / 30.0))), 2) end"""
+        + len(list_filter({w}, lambda y: length(y) >= 3)) / len({w}) * 20.0 + least(20.0, length({x}) / 30.0))) * 100.0 + 0.5) / 100.0 end"""
 
 
 def noise(x: str) -> str:
     usual = rf"len(regexp_extract_all({x}, '[A-Za-z0-9\s.,;:!?%/()+\-–—~®™•''’]'))"
-    return f"case when {x} = '' then 1.0 else round(greatest(0.0, 1.0 - {usual} / length({x})), 4) end"
+    return f"case when {x} = '' then 1.0 else floor(greatest(0.0, 1.0 - {usual} / length({x})) * 10000.0 + 0.5) / 10000.0 end"
 
 
 def values(items: list[str]) -> str:
