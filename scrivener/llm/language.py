@@ -108,14 +108,18 @@ def count_grams(texts: DataFrame) -> DataFrame:
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in it:
-            total: Counter = Counter()
+            words: dict[str, Counter] = {k: Counter() for k in LANGUAGES}
             for x in t.text:
                 for s in segments(x):
-                    words = _WORD.findall(s.lower())
-                    lang = clear_language(words)
+                    own = _WORD.findall(s.lower())
+                    lang = clear_language(own)
                     if lang:
-                        for w in words:
-                            total.update((lang, g) for g in _grams(w))
+                        words[lang].update(own)
+            total: Counter = Counter()
+            for lang, own in words.items():
+                for w, n in own.items():
+                    for g in _grams(w):
+                        total[lang, g] += n
             yield pd.DataFrame([(k, g, n) for (k, g), n in total.items()], columns=["lang", "gram", "n"])
 
     parts = texts.select("text").where("text is not null").mapInPandas(count, "lang string, gram string, n long")
@@ -139,31 +143,40 @@ class Model:
             three = {g: np.log((n + 2 * one[g[2]]) / (context[g[:2]] + 2)) for g, n in own.items()}
             back = {c: np.log(2 / (n + 2)) for c, n in context.items()}
             self.tables.append((three, back, {c: np.log(p) for c, p in one.items()}))
-        self._known: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        v = self._known.get(w)
-        if v is None:
-            grams = _grams(w)
-            v = np.array([
-                sum(three[g] if g in three else back.get(g[:2], 0.0) + one.get(g[2], -16.0) for g in grams)
-                for three, back, one in self.tables
-            ])
-            if len(self._known) > 50_000:
-                self._known.clear()
-            self._known[w] = v
-        return v
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words seen so far: the row of each in a growing matrix of their log-likelihoods, letters and length."""
+        self._row: dict[str, int] = {}
+        self._matrix = np.zeros((1024, len(LANGUAGES) + 2))
+
+    def _add(self, w: str) -> int:
+        i = self._row[w] = len(self._row)
+        if i == len(self._matrix):
+            self._matrix = np.vstack([self._matrix, np.zeros_like(self._matrix)])
+        grams = _grams(w)
+        self._matrix[i, :-2] = [
+            sum(three[g] if g in three else back.get(g[:2], 0.0) + one.get(g[2], -16.0) for g in grams)
+            for three, back, one in self.tables
+        ]
+        self._matrix[i, -2:] = len(w), len(w) / 2 if _EAST.match(w) else 1
+        return i
 
     def likelihoods(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each segment its log-likelihoods, number of letters and number of words (two eastern characters are one)."""
-        like = np.zeros((len(segs), len(LANGUAGES)))
-        letters, n_words = np.zeros(len(segs)), np.zeros(len(segs))
-        for i, s in enumerate(segs):
+        if len(self._row) > 60_000:
+            self._forget()
+        rows: list[int] = []
+        ends = []
+        known = self._row
+        for s in segs:
             for w in _WORD.findall(s.lower()):
-                like[i] += self.word(w)
-                letters[i] += len(w)
-                n_words[i] += len(w) / 2 if _EAST.match(w) else 1
-        return like, letters, n_words
+                i = known.get(w)
+                rows.append(self._add(w) if i is None else i)
+            ends.append(len(rows))
+        sums = np.vstack([np.zeros((1, len(LANGUAGES) + 2)), np.cumsum(self._matrix[rows], axis=0)])[[0, *ends]]
+        each = np.diff(sums, axis=0)
+        return each[:, :-2], each[:, -2].round(), each[:, -1]
 
 
 def infer(like: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +206,9 @@ def infer(like: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
     keep = np.zeros(n, bool)
     keep[np.unique(like.argmax(1))] = True  # other languages cannot gain a share
+    if keep.sum() == 1:
+        top = like.max(1)
+        return keep.astype(float), np.exp(like - top[:, None]) / np.exp(like - top[:, None]).sum(1, keepdims=True)
     total, p, r = run(keep)
     while keep.sum() > 1:
         trials = []
