@@ -50,7 +50,10 @@ _KANA = re.compile("[぀-ヿ]")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 _SHARED = Counter(w for v in FUNCTION_WORDS.values() for w in set(v.split()))
 #: A word of several languages counts for each with that part.
-_FUNCTION = {k: {w: 1 / _SHARED[w] for w in v.split()} for k, v in FUNCTION_WORDS.items()}
+_FUNCTION: dict[str, list[tuple[str, float]]] = {}
+for _k, _v in FUNCTION_WORDS.items():
+    for _w in set(_v.split()):
+        _FUNCTION.setdefault(_w, []).append((_k, 1 / _SHARED[_w]))
 #: Words of a stretch without punctuation that are judged together.
 _STRETCH = 12
 
@@ -85,13 +88,17 @@ def clear_language(words: list[str]) -> str | None:
     text = "".join(words)
     if not text:
         return None
-    east = len(_EAST.findall(text))
-    if east >= 5 and east > 0.4 * len(text):
-        return "ja" if len(_KANA.findall(text)) >= 0.15 * east else "zh" if not _KANA.search(text) else None
-    if len(_CYRILLIC.findall(text)) > 0.6 * len(text) and len(text) > 8:
-        return "ru"
-    some = set(words)
-    own = sorted(((sum(f.get(w, 0.0) for w in some), k) for k, f in _FUNCTION.items()), reverse=True)
+    if not text.isascii():
+        east = len(_EAST.findall(text))
+        if east >= 5 and east > 0.4 * len(text):
+            return "ja" if len(_KANA.findall(text)) >= 0.15 * east else "zh" if not _KANA.search(text) else None
+        if len(_CYRILLIC.findall(text)) > 0.6 * len(text) and len(text) > 8:
+            return "ru"
+    sums = dict.fromkeys(FUNCTION_WORDS, 0.0)
+    for w in set(words):
+        for k, part in _FUNCTION.get(w, ()):
+            sums[k] += part
+    own = sorted(((x, k) for k, x in sums.items()), reverse=True)
     if own[0][0] >= 2 and own[0][0] >= 2 * own[1][0]:
         return own[0][1]
     return None
@@ -143,6 +150,21 @@ class Model:
             three = {g: np.log((n + 2 * one[g[2]]) / (context[g[:2]] + 2)) for g, n in own.items()}
             back = {c: np.log(2 / (n + 2)) for c, n in context.items()}
             self.tables.append((three, back, {c: np.log(p) for c, p in one.items()}))
+        # the trigrams that any language has, with their log-likelihoods under all
+        self.rows = {g: i for i, g in enumerate(sorted({g for three, *_ in self.tables for g in three}))}
+        self.known = np.zeros((len(self.rows), len(LANGUAGES)))
+        for g, i in self.rows.items():
+            self.known[i] = self._rare(g)
+        self._forget()
+
+    def _rare(self, g: str) -> list[float]:
+        return [three[g] if g in three else back.get(g[:2], 0.0) + one.get(g[2], -16.0) for three, back, one in self.tables]
+
+    def __getstate__(self) -> tuple:
+        return self.tables, self.rows, self.known
+
+    def __setstate__(self, state: tuple) -> None:
+        self.tables, self.rows, self.known = state
         self._forget()
 
     def _forget(self) -> None:
@@ -155,10 +177,11 @@ class Model:
         if i == len(self._matrix):
             self._matrix = np.vstack([self._matrix, np.zeros_like(self._matrix)])
         grams = _grams(w)
-        self._matrix[i, :-2] = [
-            sum(three[g] if g in three else back.get(g[:2], 0.0) + one.get(g[2], -16.0) for g in grams)
-            for three, back, one in self.tables
-        ]
+        at = [self.rows.get(g, -1) for g in grams]
+        self._matrix[i, :-2] = self.known[[r for r in at if r >= 0]].sum(0)
+        for g, r in zip(grams, at):
+            if r < 0:
+                self._matrix[i, :-2] += self._rare(g)
         self._matrix[i, -2:] = len(w), len(w) / 2 if _EAST.match(w) else 1
         return i
 
@@ -270,11 +293,10 @@ def languages(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFr
         T.StructField("share", T.DoubleType()), T.StructField("confidence", T.DoubleType()),
     ])
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("languages", T.ArrayType(item))])
-    shared = df.sparkSession.sparkContext.broadcast(model.tables)  # at most MOST_GRAMS trigrams of ten languages
+    shared = df.sparkSession.sparkContext.broadcast(model)  # at most MOST_GRAMS trigrams of ten languages
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Model({})
-        m.tables = shared.value
+        m = shared.value
         for t in it:
             out = []
             for x in t["__text"]:
