@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from scrivener.llm.scans import best_repairs, noise, repaired
 from scrivener.session import cut, once, table
 
-#: Lines of a unit without metadata are those of a page if they are many, short and mostly end within a sentence.
+#: Without metadata, an image can only have been read by a recogniser, and the lines of a scanned page are several,
+#: short, and mostly end within a sentence.
 _WRAPPED = r"""
-    source_type in ('page', 'image') and metadata.extraction_method is null and text like '%\n%'
+    metadata.extraction_method is null and (source_type = 'image' or source_type = 'page' and text like '%\n%'
     and array_max(transform(split(text, '\\n'), s -> length(s))) <= 110
-    and size(filter(split(text, '\\r?\\n'), s -> s rlike '[\\p{L}\\p{N},\\-]$')) >= 0.5 * size(split(text, '\\n'))
+    and size(filter(split(text, '\\r?\\n'), s -> s rlike '[\\p{L}\\p{N},\\-\\u2010\\u00ac\\u00ad] ?$')) >= 0.4 * size(filter(split(text, '\\r?\\n'), s -> trim(s) <> '')))
 """
 
 
