@@ -38,14 +38,14 @@ def upload_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy of the second read of a unit against the first, by engine: count, mean, least and greatest."""
+    """Accuracy of the second read of a unit against the first, by engine: count, sum, least and greatest."""
     w = Window.partitionBy("unit_id").orderBy("ocr_id")
     rows = once(table(spark, sf_dir, "ocr_results").select("ocr_id", "unit_id", "text", "engine"), "ocr_id").withColumn("r", F.row_number().over(w))
     a = rows.where("r = 1").select("unit_id", F.col("text").alias("a"))
     b = rows.where("r = 2").select("unit_id", F.col("text").alias("b"), "engine")
     scored = a.join(b, "unit_id").withColumn("accuracy", F.round((1 - metrics.cer(F.col("a"), F.col("b"))) * 100, 2))
     return scored.groupBy("engine").agg(
-        F.count("*").alias("cases"), F.round(F.avg("accuracy"), 4).alias("mean"), F.min("accuracy").alias("least"), F.max("accuracy").alias("most")
+        F.count("*").alias("cases"), F.round(F.sum("accuracy"), 2).alias("total"), F.min("accuracy").alias("least"), F.max("accuracy").alias("most")
     )
 
 
@@ -103,7 +103,7 @@ SQL = {
         with r as (select unit_id, engine, {sql.metric('text')} as t, row_number() over (partition by unit_id order by ocr_id) as r from {sql.READS}),
         p as (select b.engine, a.t as a, b.t as b from r a join r b on a.unit_id = b.unit_id and a.r = 1 and b.r = 2),
         s as (select engine, round((1 - case when a = '' and b = '' then 0.0 when a = '' then 1.0 else least(1.0, levenshtein(a, b) / length(a)) end) * 100, 2) as accuracy from p)
-        select engine, count(*) as cases, round(avg(accuracy), 4) as mean, min(accuracy) as least, max(accuracy) as most from s group by 1""",
+        select engine, count(*) as cases, round(sum(accuracy), 2) as total, min(accuracy) as least, max(accuracy) as most from s group by 1""",
     "w3_moving_quality": f"select ocr_id, round(coalesce(sum(quality_score) over (partition by upload_id order by ocr_id rows between 7 preceding and 7 following), 0) / 15, 4) as moving from {sql.READS}",
     "dt2_media_seconds": f"""
         with s as (select unit_id, cast(floor(len({sql.words("coalesce(text, '')")}) * 0.4 + 0.5) as int) as s from {sql.UNITS} where source_type in ('audio', 'video'))

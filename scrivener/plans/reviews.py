@@ -54,10 +54,10 @@ def engine_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count, mean, least and greatest quality of each engine and variant."""
+    """Count, sum, least and greatest quality of each engine and variant."""
     rows = _reads(spark, sf_dir, "engine", "selected_variant", "quality_score")
     return rows.groupBy("engine", "selected_variant").agg(
-        F.count("*").alias("n"), F.round(F.avg("quality_score"), 4).alias("mean"), F.min("quality_score").alias("least"), F.max("quality_score").alias("most")
+        F.count("*").alias("n"), F.round(F.sum("quality_score"), 2).alias("total"), F.min("quality_score").alias("least"), F.max("quality_score").alias("most")
     )
 
 
@@ -308,7 +308,7 @@ SQL = {
     "ag1_section_counts": f"select upload_id, section, count(*) as total, count(*) filter (status = 'Satisfied') as satisfied, count(*) filter (status = 'Not Satisfied') as not_satisfied from {sql.MATCHES} group by all",
     "ag2_overall_status": f"select upload_id, case when count(*) filter (status = 'Not Satisfied') > 0 then 'Non-Compliant' else 'Compliant' end as overall from {sql.MATCHES} group by all",
     "ag3_engine_accuracy": f"select engine, coalesce(round(avg(quality_score) filter (confidence_score >= 0), 2), round(avg(quality_score), 2)) as accuracy from {sql.READS} group by 1",
-    "ag4_quality_by_variant": f"select engine, selected_variant, count(*) as n, round(avg(quality_score), 4) as mean, min(quality_score) as least, max(quality_score) as most from {sql.READS} group by all",
+    "ag4_quality_by_variant": f"select engine, selected_variant, count(*) as n, round(sum(quality_score), 2) as total, min(quality_score) as least, max(quality_score) as most from {sql.READS} group by all",
     "ag5_method_counts": f"select upload_id, coalesce(metadata.extraction_method, 'unknown') as method, count(*) as units from {sql.UNITS} group by all",
     "ag7_alias_counts": f"select alias, count(distinct brand_product) as brands from {ALIASES} group by 1",
     "ag9_mean_confidence": "select engine, round(avg(least(1.0, confidence_score)) filter (confidence_score >= 0), 4) as confidence, round(sum(quality_score * greatest(coalesce(text_length, 0), 1)) / sum(greatest(coalesce(text_length, 0), 1)) filter (quality_score is not null), 4) as weighted_quality from (select distinct on (ocr_id) * from ocr_results) group by 1",
