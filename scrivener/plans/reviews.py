@@ -103,6 +103,15 @@ def upload_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("upload_id", F.substring(F.array_join(F.transform("x", lambda y: y["t"]), "\n"), 1, 6000).alias("head"))
 
 
+def upload_texts(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+    """The texts of all units of every upload, joined in order; at most ``limit`` characters if it is given."""
+    units = once(table(spark, sf_dir, "source_chunks").select("unit_id", "upload_id", "text"), "unit_id")
+    rows = units.select("upload_id", "unit_id", text.clean_text(F.col("text")).alias("t")).where("t <> ''")
+    listed = rows.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("unit_id", "t"))).alias("x"))
+    joined = F.array_join(F.transform("x", lambda y: y["t"]), "\n")
+    return listed.select("upload_id", (joined if limit is None else F.substring(joined, 1, limit)).alias("full_text"))
+
+
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to eight key phrases of every chunk: frequent stretches of 2 to 4 content words, longer ones first."""
     tokens = _chunks(spark, sf_dir, "text").select("vec_id", text.content_tokens(F.col("text")).alias("w"))
@@ -123,6 +132,17 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("r", F.row_number().over(order)).where("r = 1").select("vec_id", "term", "n")
 
 
+def term_counts(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
+    """How often every stretch of 2 to 4 content words occurs in its chunk; the ``most`` commonest of each if it is given."""
+    tokens = _chunks(spark, sf_dir, "text").select("vec_id", text.content_tokens(F.col("text")).alias("w"))
+    rows = tokens.select("vec_id", F.explode(text.ngrams(F.col("w"), 2, 4)).alias("term"))
+    counted = rows.groupBy("vec_id", "term").agg(F.count("*").alias("n"))
+    if most is None:
+        return counted
+    order = Window.partitionBy("vec_id").orderBy(F.desc("n"), F.desc(F.length("term")), "term")
+    return counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
+
+
 def tfidf_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three chunks nearest to every criterion by shared words."""
     items = table(spark, sf_dir, "checklist_items").select(F.col("vec_id").alias("item_id"), F.col("checklist_description").alias("text"))
@@ -275,7 +295,8 @@ def reply_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "ag1_section_counts": section_counts, "ag2_overall_status": overall_status, "ag3_engine_accuracy": engine_accuracy, "ag4_quality_by_variant": quality_by_variant,
     "ag5_method_counts": method_counts, "ag7_alias_counts": alias_counts, "ag9_mean_confidence": mean_confidence, "ag14_upload_warnings": upload_warnings,
-    "ag15_upload_heads": upload_heads, "kw1_keywords": keywords, "ag16_top_terms": top_terms, "j1_tfidf_matches": tfidf_matches, "j2_cosine_matches": cosine_matches,
+    "ag15_upload_heads": upload_heads, "ag15_upload_texts": upload_texts, "kw1_keywords": keywords, "ag16_top_terms": top_terms,
+    "ag16_term_counts": term_counts, "j1_tfidf_matches": tfidf_matches, "j2_cosine_matches": cosine_matches,
     "j3_first_brands": first_brands, "j4_fuzzy_brands": fuzzy_first_brands, "j6_corrected_words": corrected_words, "j8_latest_analyses": latest_analyses,
     "j9_unanalysed_uploads": unanalysed_uploads, "fp1_checklist": checklist, "fp4_evidence": evidence, "cq4_review_status": review_status,
     "sk5_stored_checklist": stored_checklist, "st13_parsed_rows": parsed_rows, "sc2_file_types": file_types, "tk4_newest_reviews": newest_reviews,
@@ -320,6 +341,10 @@ SQL = {
         with t as (select upload_id, unit_id, {sql.clean('text')} as t from {sql.UNITS}),
         r as (select *, row_number() over (partition by upload_id order by unit_id) as r from t where t <> '')
         select upload_id, left(string_agg(t, chr(10) order by r), 6000) as head from r where r <= 3 group by 1""",
+    "ag15_upload_texts": f"""
+        with t as (select upload_id, unit_id, {sql.clean('text')} as t from {sql.UNITS})
+        select upload_id, string_agg(t, chr(10) order by unit_id) as full_text from t where t <> '' group by 1""",
+    "ag16_term_counts": f"select vec_id, term, n from {_GRAMS}",
     "ag16_top_terms": f"select vec_id, term, n from {_GRAMS} qualify row_number() over (partition by vec_id order by n desc, length(term) desc, term) = 1",
     "j1_tfidf_matches": f"""
         with q as (select vec_id as item_id, {sql.content('checklist_description')} as w from checklist_items), c as (select vec_id, {sql.content('text')} as w from {sql.CHUNKS}),
