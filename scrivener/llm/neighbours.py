@@ -5,10 +5,15 @@ every distinct vector is filed under its nearest centroid and asks the lists of
 coordinates are rotated at random, so that the distance over the first dimensions estimates the whole one; a
 hypothesis test after each block of dimensions abandons candidates that are unlikely to be near enough. Survivors get
 their exact cosine. A pair found from one side counts for both, which squares the chance of a miss.
+
+Lists find neighbours of similarity ``SURE`` or more; what is less alike lies in any list. A vector with fewer than the
+wanted number of those is therefore compared with all distinct vectors, in pairs of blocks, bound by its best so far.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +27,10 @@ SAMPLE = 20_000
 #: Rows at most of one list block and one block of questions in a task.
 BLOCK, QUESTIONS = 8_192, 16_384
 STEP = 16
+#: Neighbours of this similarity are found by the lists; a vector with too few of them is compared with all others.
+SURE = 0.8
+#: Where the first test leaves more than this share of the pairs, abandoning costs more than the whole products.
+DENSE = 0.05
 #: Width of the hypothesis test: larger abandons fewer true neighbours.
 EPSILON = 2.1
 _SCHEMA_FILED = "rep long, list int, near array<int>, vec binary"
@@ -51,11 +60,12 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def scan(q: np.ndarray, x: np.ndarray, q_id: np.ndarray, x_id: np.ndarray, least: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each question at most ``keep`` rows of ``x`` of similarity ``least`` or more: question, row, cosine.
+def scan(q: np.ndarray, x: np.ndarray, q_id: np.ndarray, x_id: np.ndarray, least: float | None, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each question at most ``keep`` rows of ``x`` of similarity ``least`` or more, if it is given: question, row, cosine.
 
     Adaptive: the bound of a question rises to its ``keep``-th best so far as the blocks of rows go by.
     """
+    least = -2.0 if least is None else least
     dims = q.shape[1]
     turn = rotation(dims)
     qd, xd = unit(q.astype(np.float64)), unit(x.astype(np.float64))
@@ -66,18 +76,29 @@ def scan(q: np.ndarray, x: np.ndarray, q_id: np.ndarray, x_id: np.ndarray, least
     bound = np.full(len(q), least - 1e-5)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     best = np.full((len(q), keep), -2.0)
+    whole = False
     for a in range(0, len(x), 1024):
         part = xr[a : a + 1024]
         far = (2 - 2 * bound).astype(np.float32)[:, None]
-        d0 = (qr[:, :STEP] ** 2).sum(1)[:, None] + (part[:, :STEP] ** 2).sum(1)[None] - 2 * (qr[:, :STEP] @ part[:, :STEP].T)
-        i, j = np.nonzero(d0 <= far * slack[STEP])
-        dist = d0[i, j]
-        del d0
-        for d in range(STEP, dims, STEP):
-            e = min(d + STEP, dims)
-            dist = dist + ((qr[i, d:e] - part[j, d:e]) ** 2).sum(1)
-            live = dist <= far[i, 0] * slack[e] + 1e-5
-            i, j, dist = i[live], j[live], dist[live]
+        if not whole:
+            d0 = (qr[:, :STEP] ** 2).sum(1)[:, None] + (part[:, :STEP] ** 2).sum(1)[None] - 2 * (qr[:, :STEP] @ part[:, :STEP].T)
+            live = d0 <= far * slack[STEP]
+            whole = np.count_nonzero(live) > DENSE * live.size
+        if whole:
+            dots = qr @ part.T
+            live = dots >= (bound - 1e-5).astype(np.float32)[:, None]
+            if np.count_nonzero(live) > DENSE * live.size and len(part) > keep + 1:
+                # no bound yet: the keep best of this block, and the question itself
+                live &= dots >= np.partition(dots, -keep - 1, axis=1)[:, [-keep - 1]] - np.float32(1e-4)
+            i, j = np.nonzero(live)
+        else:
+            i, j = np.nonzero(live)
+            dist = d0[i, j]
+            for d in range(STEP, dims, STEP):
+                e = min(d + STEP, dims)
+                dist = dist + ((qr[i, d:e] - part[j, d:e]) ** 2).sum(1)
+                near = dist <= far[i, 0] * slack[e] + 1e-5
+                i, j, dist = i[near], j[near], dist[near]
         own = q_id[i] != x_id[a + j]
         i, j = i[own], j[own]
         s = np.round(np.einsum("ij,ij->i", qd[i], xd[a + j]), 6)
@@ -152,8 +173,44 @@ def _blocks(counts: dict[int, int], size: int, lists: int) -> F.Column:
     return F.array(*[F.lit(max(1, -(-counts.get(i, 0) // size))) for i in range(lists)])
 
 
-def similar_pairs(reps: DataFrame, dims: int, least: float, keep: int, probes: int) -> DataFrame:
+def _search(dims: int, least: float | None, keep: int) -> Callable[[pa.Table], pa.Table]:
+    """Scan of a block of rows for a block of questions."""
+
+    def search(t: pa.Table) -> pa.Table:
+        is_q = t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        ids = t.column("rep").to_numpy()
+        v = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(-1, dims)
+        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if is_q.any() and not is_q.all():
+            qi, xi, q, x = ids[is_q], ids[~is_q], v[is_q], v[~is_q]
+            parts = []
+            for a in range(0, len(qi), 1024):
+                i, j, s = scan(q[a : a + 1024], x, qi[a : a + 1024], xi, least, keep)
+                parts.append((qi[a + i], xi[j], s))
+            out = [np.concatenate(c) for c in zip(*parts)]
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "s": pa.array(out[2], pa.float64())})
+
+    return search
+
+
+def _all_pairs(asking: DataFrame, filed: DataFrame, n: int, dims: int, least: float | None, keep: int) -> DataFrame:
+    """``a, b, s``: the ``keep`` best of all ``n`` rows for each of ``asking``, from every pair of blocks."""
+    q_blocks, x_blocks = -(-asking.count() // QUESTIONS), -(-n // BLOCK)
+
+    def block(blocks: int) -> F.Column:
+        return F.pmod(F.xxhash64("rep"), F.lit(max(1, blocks)).cast("long")).cast("int")
+
+    def all_blocks(blocks: int) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1)))
+
+    stored = filed.select("rep", "vec", F.lit(False).alias("asks"), block(x_blocks).alias("x"), all_blocks(q_blocks).alias("q"))
+    asks = asking.select("rep", "vec", F.lit(True).alias("asks"), all_blocks(x_blocks).alias("x"), block(q_blocks).alias("q"))
+    return stored.unionByName(asks).groupBy("x", "q").applyInArrow(_search(dims, least, keep), "a long, b long, s double")
+
+
+def similar_pairs(reps: DataFrame, dims: int, least: float | None, keep: int, probes: int) -> DataFrame:
     """``a, b, s``: for each distinct vector ``a`` at most ``keep`` others, from questions in either direction."""
+    floor = SURE if least is None else max(least, SURE)
     n = reps.count()
     filed, lists = _file(reps, dims, n, probes)
     filed = cut(filed)
@@ -172,28 +229,20 @@ def similar_pairs(reps: DataFrame, dims: int, least: float, keep: int, probes: i
     asks = filed.select("rep", F.explode("near").alias("list"), "vec", F.lit(True).alias("asks"))
     asks = asks.select("*", block(q_at).alias("q")).select("*", all_blocks(at).alias("x"))
 
-    def search(t: pa.Table) -> pa.Table:
-        is_q = t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        ids = t.column("rep").to_numpy()
-        v = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(-1, dims)
-        out = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        if is_q.any() and not is_q.all():
-            qi, xi, q, x = ids[is_q], ids[~is_q], v[is_q], v[~is_q]
-            parts = []
-            for a in range(0, len(qi), 1024):
-                i, j, s = scan(q[a : a + 1024], x, qi[a : a + 1024], xi, least, keep)
-                parts.append((qi[a + i], xi[j], s))
-            out = [np.concatenate(c) for c in zip(*parts)]
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "s": pa.array(out[2], pa.float64())})
-
     both = stored.select("list", "x", "q", "asks", "rep", "vec").unionByName(asks.select("list", "x", "q", "asks", "rep", "vec"))
-    found = both.groupBy("list", "x", "q").applyInArrow(search, "a long, b long, s double")
+    found = both.groupBy("list", "x", "q").applyInArrow(_search(dims, floor, keep), "a long, b long, s double")
     found = cut(found)
-    return top_n(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")), ["a"], "s", "b", keep).drop("place")
+    best = top_n(found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")), ["a"], "s", "b", keep).drop("place")
+    if least is not None and least >= SURE:
+        return best
+    best = cut(best)
+    settled = best.groupBy("a").count().where(F.col("count") >= keep).select(F.col("a").alias("rep"))
+    asking = cut(filed.join(settled, "rep", "left_anti").select("rep", "vec"))
+    return top_n(best.unionByName(_all_pairs(asking, filed, n, dims, least, keep)), ["a"], "s", "b", keep).drop("place")
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int, least: float, dims: int = 64, probes: int = 12, salts: int = 8) -> DataFrame:
-    """``id, other, similarity, place`` (int): for each vector its ``k`` most similar others of similarity ``least`` or more.
+def nearest(df: DataFrame, key: str, vector: str, k: int, least: float | None = None, dims: int = 64, probes: int = 12, salts: int = 8) -> DataFrame:
+    """``id, other, similarity, place`` (int): for each vector its ``k`` most similar others, of similarity ``least`` or more if it is given.
 
     Similarity is the cosine in double precision, rounded to 6 decimals; of equal similarity the smaller id comes
     first. Vectors that are null, of another length, with nulls, NaN or infinite numbers, or all zero, and null ids have

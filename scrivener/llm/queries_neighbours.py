@@ -15,13 +15,13 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar other vectors of every vector, of similarity 0.8 or more."""
-    return nearest(_vectors(spark, sf_dir), "vec_id", "embedding", k=5, least=0.8)
+    """The five most similar other vectors of every vector."""
+    return nearest(_vectors(spark, sf_dir), "vec_id", "embedding", k=5)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of which one is among the five most similar of the other."""
-    rows = p6_neighbours(spark, sf_dir)
+    """Pairs of which one is among the five most similar of the other, of similarity 0.8 or more."""
+    rows = p6_neighbours(spark, sf_dir).where("similarity >= 0.8")
     return rows.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
 
 
