@@ -200,7 +200,7 @@ def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = items.agg(F.max_by("checklist_version", "updated_date").alias("v"))
     section = F.lower(text.clean_text(F.col("section_name")))
     rows = items.join(F.broadcast(last), F.col("checklist_version") == F.col("v")).where(section.isin(*SECTIONS))  # last is one row
-    return rows.select("vec_id", "item_code", section.alias("section"), "checklist_version")
+    return rows.orderBy("section_name", "item_code", "vec_id").select("vec_id", "item_code", section.alias("section"), "checklist_version")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,6 +282,15 @@ def section_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.select("unit_id", F.last(heading, ignorenulls=True).over(order).alias("heading"))
 
 
+def source_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types and numbers of all units of every upload as a comma list in order; a unit without number by its type."""
+    units = once(table(spark, sf_dir, "source_chunks").select("unit_id", "upload_id", "source_type", "source_no"), "unit_id")
+    number = F.when(F.col("source_no") != 0, F.col("source_no").cast("string"))
+    rows = units.select("upload_id", "unit_id", F.concat_ws(" ", F.coalesce("source_type", F.lit("")), number).alias("place"))
+    listed = rows.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("unit_id", "place"))).alias("x"))
+    return listed.select("upload_id", F.array_join(F.transform("x", lambda y: y["place"]), ", ").alias("location"))
+
+
 def reply_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies of a model as JSON, fenced or with words around, read again; what is no valid status is negative."""
     rows = _matches(spark, sf_dir, "item_code", "status")
@@ -301,6 +310,7 @@ QUERIES = {
     "j9_unanalysed_uploads": unanalysed_uploads, "fp1_checklist": checklist, "fp4_evidence": evidence, "cq4_review_status": review_status,
     "sk5_stored_checklist": stored_checklist, "st13_parsed_rows": parsed_rows, "sc2_file_types": file_types, "tk4_newest_reviews": newest_reviews,
     "tk2_message_ranks": message_ranks, "sm2_mapped_summary": mapped_summary, "w4_section_carried": section_carried, "js1_reply_status": reply_status,
+    "st22_source_locations": source_locations,
 }
 
 ALIASES = r"""
@@ -341,6 +351,9 @@ SQL = {
         with t as (select upload_id, unit_id, {sql.clean('text')} as t from {sql.UNITS}),
         r as (select *, row_number() over (partition by upload_id order by unit_id) as r from t where t <> '')
         select upload_id, left(string_agg(t, chr(10) order by r), 6000) as head from r where r <= 3 group by 1""",
+    "st22_source_locations": f"""
+        select upload_id, string_agg(coalesce(source_type, '') || case when source_no <> 0 then ' ' || source_no else '' end, ', ' order by unit_id) as location
+        from {sql.UNITS} group by 1""",
     "ag15_upload_texts": f"""
         with t as (select upload_id, unit_id, {sql.clean('text')} as t from {sql.UNITS})
         select upload_id, string_agg(t, chr(10) order by unit_id) as full_text from t where t <> '' group by 1""",

@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -21,11 +22,13 @@ from scrivener.functions.text import extension
 #: Kinds of files by extension; a table of settings that is joined to file names.
 KINDS = {
     "table": ".csv .tsv", "markup": ".html .htm .xml .svg .md .txt .json .yaml .yml .log .ini .rst .tex .sql .py .js .css .sh",
-    "document": ".docx .docm .dotx .rtf", "email": ".eml", "package": ".zip", "fallback": ".ps .eps .ai .bin .dat .doc .odt",
+    "document": ".docx .docm .dotx .rtf", "email": ".eml", "package": ".zip", "spreadsheet": ".xlsx .xls", "fallback": ".ps .eps .ai .bin .dat .doc .odt",
 }
 TEXT_EXTENSIONS = frozenset((KINDS["markup"] + " " + KINDS["table"]).split())
 #: Limits that are part of the meaning of a preview: rows of a table, members of a package and their size.
-TABLE_ROWS, MEMBERS_READ, MEMBER_BYTES = 251, 30, 1 << 20
+TABLE_ROWS, SHEET_ROWS, MEMBERS_READ, MEMBER_BYTES = 251, 200, 30, 1 << 20
+#: Values of cells that count as empty.
+NO_VALUE = frozenset("#N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN|<NA>|N/A|NA|NULL|NaN|None|n/a|nan|null".split("|"))
 UNIT_SCHEMA = "path string, source_no int, source_type string, text string, warning string"
 
 
@@ -105,6 +108,85 @@ def docx_text(data: bytes) -> list[str]:
     return [s for s in out if s]
 
 
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\[^\n]|\[[^\]]*\]', "", f.get("formatCode", "")) for f in root.iter(f"{_MAIN}numFmt")}
+    dates = {*range(14, 23), *range(45, 48), *(k for k, v in own.items() if re.search("[ymdhs]", v, re.IGNORECASE))}
+    return {i for i, x in enumerate(root.findall(f"{_MAIN}cellXfs/{_MAIN}xf")) if int(x.get("numFmtId", 0)) in dates}
+
+
+def _cell(c: ElementTree.Element, shared: list[str], dates: set[int], start: datetime) -> str:
+    kind, v = c.get("t", "n"), c.findtext(f"{_MAIN}v")
+    if kind == "inlineStr":
+        value = "".join(t.text or "" for t in c.findall(f"{_MAIN}is//{_MAIN}t"))
+    elif v is None or kind == "e":
+        value = ""
+    elif kind == "s":
+        value = shared[int(v)]
+    elif kind == "b":
+        value = str(v == "1")
+    elif kind == "n":
+        number = float(v)
+        if int(c.get("s", 0)) in dates:
+            value = str(start + timedelta(seconds=round(number * 86400)))
+        else:
+            value = str(int(number)) if number.is_integer() else str(number)
+    else:
+        value = v
+    return "" if value in NO_VALUE else value
+
+
+def sheet_texts(data: bytes) -> list[str]:
+    """Each sheet of a workbook as CSV: its header and the first ``SHEET_ROWS`` rows after it."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            items = ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_MAIN}si")
+            shared = ["".join(t.text or "" for p in (f"{_MAIN}t", f"{_MAIN}r/{_MAIN}t") for t in i.findall(p)) for i in items]
+        dates = _date_styles(z)
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        late = any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_MAIN}workbookPr"))
+        start = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
+        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in book.iter(f"{_MAIN}sheet"):
+            target = links[sheet.get(_LINK)]
+            name = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            rows: dict[int, dict[int, str]] = {}
+            at = 0
+            for row in ElementTree.fromstring(z.read(name)).iter(f"{_MAIN}row"):
+                at = int(row.get("r", at + 1))
+                col = 0
+                for c in row.findall(f"{_MAIN}c"):
+                    letters = re.match("[A-Z]*", c.get("r", ""))[0]
+                    col = sum((ord(x) - 64) * 26**i for i, x in enumerate(reversed(letters))) if letters else col + 1
+                    rows.setdefault(at, {})[col] = _cell(c, shared, dates, start)
+            filled = [r for r, cells in rows.items() if any(cells.values())]
+            if not filled:
+                out.append("")
+                continue
+            first, last = min(filled), max(filled)
+            width = max(c for cells in rows.values() for c in cells)
+            lines = [[rows.get(r, {}).get(c, "") for c in range(1, width + 1)] for r in range(first, min(last, first + SHEET_ROWS) + 1)]
+            head: list[str] = []
+            for i, h in enumerate(lines[0]):
+                h, n = h or f"Unnamed: {i}", 0
+                while (f"{h}.{n}" if n else h) in head:
+                    n += 1
+                head.append(f"{h}.{n}" if n else h)
+            text = io.StringIO()
+            csv.writer(text, lineterminator="\n").writerows([head, *lines[1:]])
+            out.append(text.getvalue())
+    return out
+
+
 def printable(data: bytes, least: int = 4, most: int = 250) -> str:
     """Readable stretches of a binary file, each once."""
     found = dict.fromkeys(m.decode("ascii").strip() for m in re.findall(rb"[\x20-\x7e]{%d,}" % least, data))
@@ -162,6 +244,10 @@ def units_of(path: str, kind: str | None, data: bytes) -> list[tuple[int, str, s
             return [(1, "email", email_text(data), None)]
         if kind == "package":
             return [(i, "member", f"{name}\n{t}", None) for i, (name, t) in enumerate(package_units(data), 1)]
+        if kind == "spreadsheet":
+            if data[:2] != b"PK":
+                return [(1, "sheet", printable(data), f"no reader for spreadsheets of this format: {suffix}")]
+            return [(i, "sheet", t, None) for i, t in enumerate(sheet_texts(data), 1)]
         text = postscript_text(data) if data[:2] == b"%!" else ""
         return [(1, "fallback", text or printable(data), None if kind else f"unknown file type {suffix}")]
     except Exception as e:  # noqa: BLE001 - one broken file must not end the job

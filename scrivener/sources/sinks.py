@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scrivener.operators.tables import newest, upsert
 
@@ -15,6 +16,26 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def report_name(key: Column) -> Column:
+    """A safe name of at most 80 characters for a report; ``material`` if nothing is left of the key."""
+    plain = F.regexp_replace(F.coalesce(key.cast("string"), F.lit("")), r"[^A-Za-z0-9._-]+", "_")
+    name = F.substring(F.regexp_replace(plain, r"^[._-]+|[._-]+\z", ""), 1, 80)
+    return F.when(name == "", "material").otherwise(name)
+
+
+def write_reports(df: DataFrame, path: str, key: str) -> None:
+    """Add each row as JSON, with its nulls, to the folder ``report=accuracy_<time>_<name of its key>``."""
+    time = F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss_SSSSSS")
+    named = df.withColumn("report", F.concat(F.lit("accuracy_"), time, F.lit("_"), report_name(F.col(key))))
+    named.write.mode("append").option("ignoreNullFields", False).partitionBy("report").json(path)
+
+
+def with_record_key(df: DataFrame, key: str, own: str) -> DataFrame:
+    """``record_key`` of old rows that lack it or whose is null: ``key::own``; others keep theirs."""
+    made = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("::"), F.col(own).cast("string"))
+    return df.withColumn("record_key", F.coalesce("record_key", made) if "record_key" in df.columns else made)
+
+
 def _rename(spark: SparkSession, old: str, new: str) -> None:
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(new).getFileSystem(spark._jsc.hadoopConfiguration())
