@@ -120,16 +120,22 @@ def fuzzy_brands(texts: DataFrame, key: str, text: str, aliases: DataFrame, leas
 def correct_words(words: DataFrame, dictionary: DataFrame, least: float = 85.0) -> DataFrame:
     """``word, best, score`` of each distinct word that the dictionary explains; words with digits or under 4 letters none.
 
-    A similarity of ``least`` bounds the lengths, and words that similar share their first or their last half's
-    bigrams: candidates meet on a shared bigram at nearly the same place.
+    A similarity of ``least`` bounds the lengths and the letters that two words don't share. From 80 on, these are too few
+    to part all that they share into single letters, so they have a bigram in common, shifted by at most as many
+    places: candidates meet on that, and none is lost.
     """
+    if least < 80:
+        raise ValueError("words less alike than 80 need not share a bigram")
+    longer = (200 - least) / least  # of the longer word to the shorter one
+    shift = F.floor(2 * F.length("w") * ((100 - least) / least) + 1e-6).cast("int")
     usable = "length(w) >= 4 and not w rlike '[0-9]'"
     grams = F.expr("transform(sequence(1, length(w) - 1), i -> struct(i as i, substring(w, i, 2) as g))")
     w = words.select(F.lower("word").alias("w"), "word").where(usable).distinct()
     d = dictionary.select(F.lower("term").alias("w")).where("length(w) >= 2").distinct()
     left = w.select("word", "w", F.explode(grams).alias("x")).select("word", "w", "x.g", "x.i")
-    right = d.select(F.col("w").alias("term"), F.explode(grams).alias("x")).select("term", "x.g", F.explode(F.expr("sequence(x.i - 3, x.i + 3)")).alias("i"))
-    near = (F.length("w") * 1.36 >= F.length("term")) & (F.length("term") * 1.36 >= F.length("w"))
+    right = d.select(F.col("w").alias("term"), shift.alias("shift"), F.explode(grams).alias("x"))
+    right = right.select("term", "x.g", F.explode(F.expr("sequence(x.i - shift, x.i + shift)")).alias("i"))
+    near = (F.length("w") * longer + 1e-6 >= F.length("term")) & (F.length("term") * longer + 1e-6 >= F.length("w"))
     pairs = left.join(right, ["g", "i"]).where(near).select("word", "w", "term").distinct()
 
     def score(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,8 +1,11 @@
 """Queries that must give all of their input, not a first part of it."""
 
 import io
+import random
 import zipfile
 
+from scrivener.functions.correction import indel_ratio
+from scrivener.operators.matching import correct_words
 from scrivener.plans import reviews
 from scrivener.plans.registry import QUERIES
 from scrivener.sources import sinks
@@ -69,3 +72,21 @@ def test_reports_and_record_keys(spark, tmp_path):
     old = spark.createDataFrame([(1, "k", "own"), (2, "k", None), (3, None, None)], "id long, key_message_id string, record_key string")
     assert [r.record_key for r in sinks.with_record_key(old, "key_message_id", "id").orderBy("id").collect()] == ["own", "k::2", "::3"]
     assert sinks.with_record_key(old.drop("record_key"), "key_message_id", "id").orderBy("id").first().record_key == "k::1"
+
+
+def test_corrections_against_all_pairs(spark):
+    rng = random.Random(1)
+    terms = ["contraindications", "administration", "hypersensitivity", "treatment", "renal", "dose", "dosage", "pharmacokinetics"]
+    words = {"raindications", "withadministration", "contraindication", "renol", "dos"}
+    for t in terms:
+        for n in range(1, 6):
+            words.add("".join(rng.choices("abcdefghij", k=n)) + t)
+            words.add(t[n:])
+            words.add("".join(rng.choices("abcdefghij", k=n)) + t[: -rng.randint(1, 2)])
+    want = {}
+    for w in words:
+        best = min(((-indel_ratio(w, t), t) for t in terms), default=None)
+        if len(w) >= 4 and -best[0] >= 85:
+            want[w] = best[1]
+    got = correct_words(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert {r.word: r.best for r in got.collect()} == want and want["raindications"] == "contraindications" and "withadministration" in want
