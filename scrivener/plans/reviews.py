@@ -155,22 +155,27 @@ def cosine_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_best(items, _chunks(spark, sf_dir, "embedding"), "item_id", "checklist_embedding", "vec_id", "embedding", 3, 64)
 
 
-def _brands(spark: SparkSession, sf_dir: str) -> list[str]:
-    rows = table(spark, sf_dir, "key_message_matches").select(F.explode(text.brand_aliases(F.col("brand_product"))).alias("alias")).distinct()
-    return sorted(r.alias for r in rows.limit(1000).collect())
+#: Aliases at most that one expression looks for in a text; more are refused.
+MOST_ALIASES = 1_000
+
+
+def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "key_message_matches").select(F.explode(text.brand_aliases(F.col("brand_product"))).alias("alias")).distinct()
 
 
 def first_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The brand that every unit mentions first, and where."""
     units = once(table(spark, sf_dir, "source_chunks").select("unit_id", "text"), "unit_id")
-    found = alias_positions(units, "unit_id", "text", _brands(spark, sf_dir))
+    aliases = sorted(r.alias for r in _brands(spark, sf_dir).limit(MOST_ALIASES + 1).collect())
+    if len(aliases) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases; give them in parts")
+    found = alias_positions(units, "unit_id", "text", aliases)
     return found.groupBy("unit_id").agg(F.min(F.struct("position", "alias")).alias("x")).select("unit_id", "x.alias", "x.position")
 
 
 def fuzzy_first_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands that machine reads mention, misread or not."""
-    names = spark.createDataFrame([(b,) for b in _brands(spark, sf_dir)], "alias string")
-    found = fuzzy_brands(_reads(spark, sf_dir, "text"), "ocr_id", "text", names)
+    found = fuzzy_brands(_reads(spark, sf_dir, "text"), "ocr_id", "text", _brands(spark, sf_dir))
     return found.select("ocr_id", "alias", F.round("score", 4).alias("score"))
 
 

@@ -4,6 +4,8 @@ import io
 import random
 import zipfile
 
+import pytest
+
 from scrivener.functions.correction import indel_ratio
 from scrivener.operators.matching import correct_words
 from scrivener.plans import reviews
@@ -90,3 +92,14 @@ def test_corrections_against_all_pairs(spark):
             want[w] = best[1]
     got = correct_words(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in terms], "term string"))
     assert {r.word: r.best for r in got.collect()} == want and want["raindications"] == "contraindications" and "withadministration" in want
+
+
+def test_more_brands_than_one_expression_holds(spark, tmp_path):
+    names = [f"brand{a}{b}{c}x" for a in "abcdefghijk" for b in "lmnopqrstuv" for c in "abcdefghijk"]
+    spark.createDataFrame([(n,) for n in names], "brand_product string").write.parquet(f"{tmp_path}/key_message_matches.parquet")
+    spark.createDataFrame(enumerate(names), "ocr_id long, text string").write.parquet(f"{tmp_path}/ocr_results.parquet")
+    spark.createDataFrame([(1, 1, "x")], "unit_id long, upload_id long, text string").write.parquet(f"{tmp_path}/source_chunks.parquet")
+    own = {(r.ocr_id, r.alias) for r in reviews.fuzzy_first_brands(spark, str(tmp_path)).where("score = 1").collect()}
+    assert own == set(enumerate(names))
+    with pytest.raises(ValueError, match="aliases"):
+        reviews.first_brands(spark, str(tmp_path))
