@@ -198,12 +198,11 @@ def _suspicious(unsafe: list[list[str]], ok: Counter) -> list[str]:
             groups.append((own, set().union(*map(_triples, d)) if d else set()))
     for _, triples in groups:
         n_un.update(triples)
-    least = 2 if len(groups) < 200 else 3
-    wanted = {t for t, k in n_un.items() if k >= least}
+    wanted = {t for t, k in n_un.items() if k >= 2}
     for w, k in ok.items():
         for t in _triples(w) & wanted:
             n_ok[t] += k
-    telling = {t for t, k in n_un.items() if k >= least and n_ok[t] * 2 <= k}
+    telling = {t for t, k in n_un.items() if k >= 2 and n_ok[t] * 2 <= k}
     out = []
     for d in unsafe:
         for w in d:
@@ -254,7 +253,7 @@ def _fit(unsafe: list[list[str]], ok_docs: list[list[str]]) -> tuple[Gauge, Gaug
     first = Model(toxic, ordinary, 0.15)
     more = [w for d in unsafe for w in d if w not in spare and ok[w] == 0 and first.margin(w) >= 0.15]
     found = list(dict.fromkeys([*found, *more]))
-    toxic = Gauge([*seeds, *found], TOXIC_BYTES)
+    toxic = Gauge([*found, *seeds], TOXIC_BYTES)  # its last bytes are kept
     return toxic, _cover(ok, toxic, set(found))
 
 
@@ -268,10 +267,9 @@ def train(rows: list[tuple[int, str, bool]]) -> Model:
     truth = np.array([u for held, u, _ in docs if held], bool)
     grid = np.arange(0.08, 0.42, 0.02)
     f1 = np.array([2 * (truth & (scores >= g)).sum() / max(1, truth.sum() + (scores >= g).sum()) for g in grid])
-    threshold = 0.2
-    if truth.sum() >= 20:
-        best = np.flatnonzero(f1 >= f1.max() - 0.01)
-        threshold = float(np.median(grid[best]))
+    # with few unsafe documents near 0.2, with many the best of them; 0.2 weighs as much as 20 documents
+    best, n = float(np.median(grid[f1 >= f1.max() - 0.01])), int(truth.sum())
+    threshold = (n * best + 20 * 0.2) / (n + 20)
     return Model(*_fit(*[[d for _, u, d in docs if u == want] for want in (True, False)]), threshold)
 
 
