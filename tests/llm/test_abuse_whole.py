@@ -1,6 +1,7 @@
 from collections import Counter
 
-from scrivener.llm.abuse import SEEDS, _fit, _suspicious
+from scrivener.llm import abuse
+from scrivener.llm.abuse import SEEDS, Gauge, Model, _fit, _suspicious
 
 
 def test_remarks_of_two_documents_at_any_size():
@@ -17,3 +18,9 @@ def test_seeds_stay_with_many_labels():
     toxic, _ = _fit(unsafe, [["an ordinary sentence of a report"]])
     assert toxic.data.decode(errors="ignore").endswith(SEEDS.splitlines()[-1]) and SEEDS.splitlines()[0].encode() in toxic.data
     assert len(toxic.data) == 1 << 16
+
+
+def test_short_sentences_are_measured():
+    model = Model(Gauge(["fuck you. you cunt. die."], 1 << 16), Gauge(["an ordinary sentence"], 1 << 16), 0.15)
+    assert model.score("Fuck you. You cunt. Die.") >= 0.15 and model.score("Yes. No. See above.") < 0
+    assert abuse.measured("Take it. No.") == ["take it. no."] and abuse.measured("One tablet daily. No.") == ["one tablet daily.", "one tablet daily. no."]
