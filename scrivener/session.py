@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,12 +34,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def once(df: DataFrame, *keys: str) -> DataFrame:
-    """Count re-delivered rows once: one row for each key. Rows of one key have the same content."""
-    return df.dropDuplicates(list(keys))
+#: Re-delivered keys at most that go to every task; with more of them the rows themselves are shuffled.
+MOST_REPEATED = 1_000_000
 
 
-def spread(df: DataFrame, *keys: str, least: int = 1) -> DataFrame:
-    """Spread rows evenly by a hash of their keys before costly Python work, so that few input splits do not limit it."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least)
-    return df.repartition(n, *[F.col(k) for k in keys])
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """Count re-delivered rows once: one row for each key. Rows of one key have the same content.
+
+    Rows of files are told apart by their place in the file: only keys and places are shuffled, not texts. The few keys
+    that occur again, if at most ``MOST_REPEATED``, go to every task with the place of the row that stays. Rows from
+    elsewhere, rows without texts and rows with more repeated keys are shuffled as they are. Null keys are one key.
+    """
+    narrow = all(not isinstance(f.dataType, (T.StringType, T.ArrayType, T.StructType, T.MapType, T.BinaryType)) for f in df.schema if f.name not in keys)
+    if narrow or df._jdf.queryExecution().analyzed().metadataOutput().size() != 1:
+        return df.dropDuplicates(list(keys))
+    placed = df.withColumn("__place", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    again = placed.groupBy(*keys).agg(F.min("__place").alias("__stays"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = cut(again.select(*[F.col(k).alias(f"__{k}") for k in keys], "__stays"))
+    if again.count() > MOST_REPEATED:
+        return df.dropDuplicates(list(keys))
+    same = [placed[k].eqNullSafe(again[f"__{k}"]) for k in keys]
+    rows = placed.join(F.broadcast(again), same, "left")  # at most MOST_REPEATED rows
+    return rows.where("__stays is null or __stays = __place").select(*df.columns)
