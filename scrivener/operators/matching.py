@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -15,6 +16,7 @@ from scrivener.functions.text import content_tokens
 
 #: Rows at most of a side that is sent to every task; a larger one is refused.
 MOST_BROADCAST = 20_000
+_PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def sparse_vectors(rows: DataFrame, key: str, text: str, df: DataFrame, documents: Column) -> DataFrame:
@@ -80,17 +82,39 @@ def cosine_best(queries: DataFrame, corpus: DataFrame, q_key: str, q_vector: str
     return best.select(F.col("q").alias(q_key), F.col("c").alias(c_key), "score", "place")
 
 
-def alias_positions(texts: DataFrame, key: str, text: str, aliases: list[str]) -> DataFrame:
+#: First words of aliases at most that every task looks for; with more of them all words of the texts are sent on.
+MOST_HEADS = 100_000
+_HEAD = r"[a-z0-9]+|[^\sa-z0-9]"
+
+
+def alias_positions(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """``key, alias, position`` (from 0) of the earliest mention of each alias that stands free of letters and digits.
 
-    aliases: a bounded list; one expression for each text, no join.
+    ``aliases`` holds ``alias``, distinct, in lower case, of any number. Words of the texts with what follows them meet
+    the aliases that begin with them. A null text mentions nothing.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    found = F.array(*[
-        F.struct(F.lit(a).alias("alias"), (F.regexp_instr(low, F.lit(rf"(?<![a-z0-9])\Q{a}\E(?![a-z0-9])")) - 1).alias("position")) for a in aliases
-    ])
-    hit = F.filter(found, lambda x: x["position"] >= 0)
-    return texts.select(key, F.explode(hit).alias("x")).select(key, "x.alias", "x.position")
+    names = aliases.select("alias", F.regexp_extract("alias", _HEAD, 0).alias("head")).where("head <> ''")
+    longest = names.agg(F.max(F.length("alias"))).first()[0] or 0
+    heads = names.select("head").distinct().limit(MOST_HEADS + 1).collect()
+    wanted = texts.sparkSession.sparkContext.broadcast(frozenset(r.head for r in heads) if len(heads) <= MOST_HEADS else None)
+    word = re.compile(_HEAD)
+
+    def words(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = wanted.value
+        for t in it:
+            rows = []
+            for k, x in zip(t[key], t["__low"]):
+                for m in word.finditer(x or ""):
+                    if (some is None or m[0] in some) and not (m.start() and m[0] not in _PLAIN and x[m.start() - 1] in _PLAIN):
+                        rows.append((k, m[0], m.start(), x[m.start() : m.start() + longest + 1]))
+            yield pd.DataFrame(rows, columns=[key, "head", "position", "ahead"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    found = texts.select(key, F.lower(text).alias("__low")).mapInPandas(words, f"{key} {kind}, head string, position int, ahead string")
+    n = F.length("alias")
+    after = F.substring("ahead", n + 1, F.lit(1))
+    hits = found.join(names, "head").where(F.col("ahead").startswith(F.col("alias")) & ~after.rlike("[a-z0-9]"))
+    return hits.groupBy(key, "alias").agg(F.min("position").alias("position"))
 
 
 def fuzzy_brands(texts: DataFrame, key: str, text: str, aliases: DataFrame, least: float = 0.75) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import metrics, quality, text
+from scrivener.operators.ranges import framed
 from scrivener.plans import sql
 from scrivener.plans.reviews import ALIASES
 from scrivener.session import once, table
@@ -52,8 +53,8 @@ def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def moving_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every read averaged over the 15 reads around it in its upload, missing ones counting as 0."""
     rows = once(table(spark, sf_dir, "ocr_results").select("ocr_id", "upload_id", "quality_score"), "ocr_id")
-    around = Window.partitionBy("upload_id").orderBy("ocr_id").rowsBetween(-7, 7)
-    return rows.select("ocr_id", F.round(F.coalesce(F.sum("quality_score").over(around), F.lit(0.0)) / 15, 4).alias("moving"))
+    around = framed(rows, "upload_id", "ocr_id", 7, lambda w: F.sum("quality_score").over(w), "sum")
+    return around.select("ocr_id", F.round(F.coalesce("sum", F.lit(0.0)) / 15, 4).alias("moving"))
 
 
 def media_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scrivener.functions import text
 from scrivener.operators.matching import alias_positions, correct_words, cosine_best, fuzzy_brands, tfidf_best
+from scrivener.operators.ranges import last_known
 from scrivener.operators.tables import missing, newest, page_of, upsert
 from scrivener.plans import sql
 from scrivener.session import once, table
@@ -93,16 +94,6 @@ def upload_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("upload_id", F.array_join(F.transform("w", lambda x: x["warning"]), "; ").alias("warnings"))
 
 
-def upload_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three texts of every upload, joined, at most 6,000 characters."""
-    units = once(table(spark, sf_dir, "source_chunks").select("unit_id", "upload_id", "text"), "unit_id")
-    rows = units.withColumn("t", text.clean_text(F.col("text"))).where("t <> ''")
-    order = Window.partitionBy("upload_id").orderBy("unit_id")
-    first = rows.withColumn("r", F.row_number().over(order)).where("r <= 3")
-    joined = first.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("r", "t"))).alias("x"))
-    return joined.select("upload_id", F.substring(F.array_join(F.transform("x", lambda y: y["t"]), "\n"), 1, 6000).alias("head"))
-
-
 def upload_texts(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     """The texts of all units of every upload, joined in order; at most ``limit`` characters if it is given."""
     units = once(table(spark, sf_dir, "source_chunks").select("unit_id", "upload_id", "text"), "unit_id")
@@ -117,21 +108,12 @@ def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = _chunks(spark, sf_dir, "text").select("vec_id", text.content_tokens(F.col("text")).alias("w"))
     rows = tokens.select("vec_id", F.explode(text.ngrams(F.col("w"), 2, 4)).alias("term"))
     counted = rows.groupBy("vec_id", "term").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("vec_id").orderBy(F.desc("n"), F.desc(F.length("term")), "term")
-    ranked = counted.withColumn("r", F.row_number().over(order)).where("r <= 32")
-    listed = ranked.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("x"))
+    order = F.struct((-F.col("n")).alias("n"), (-F.length("term")).alias("l"), "term")
+    # all candidates of a chunk, as a keyword taken before may rule out any number of them
+    listed = counted.groupBy("vec_id").agg(F.array_sort(F.collect_list(order)).alias("x"))
     return listed.select("vec_id", F.array_join(text.distinct_keywords(F.transform("x", lambda y: y["term"]), 8), "; ").alias("keywords"))
 
 
-def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The commonest stretch of 2 to 4 content words of every chunk."""
-    tokens = _chunks(spark, sf_dir, "text").select("vec_id", text.content_tokens(F.col("text")).alias("w"))
-    rows = tokens.select("vec_id", F.explode(text.ngrams(F.col("w"), 2, 4)).alias("term"))
-    counted = rows.groupBy("vec_id", "term").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("vec_id").orderBy(F.desc("n"), F.desc(F.length("term")), "term")
-    return counted.withColumn("r", F.row_number().over(order)).where("r = 1").select("vec_id", "term", "n")
-
-
 def term_counts(spark: SparkSession, sf_dir: str, most: int | None = None) -> DataFrame:
     """How often every stretch of 2 to 4 content words occurs in its chunk; the ``most`` commonest of each if it is given."""
     tokens = _chunks(spark, sf_dir, "text").select("vec_id", text.content_tokens(F.col("text")).alias("w"))
@@ -143,6 +125,11 @@ def term_counts(spark: SparkSession, sf_dir: str, most: int | None = None) -> Da
     return counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r")
 
 
+def term_counts_120(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 120 commonest stretches of every chunk."""
+    return term_counts(spark, sf_dir, 120)
+
+
 def tfidf_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three chunks nearest to every criterion by shared words."""
     items = table(spark, sf_dir, "checklist_items").select(F.col("vec_id").alias("item_id"), F.col("checklist_description").alias("text"))
@@ -155,10 +142,6 @@ def cosine_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_best(items, _chunks(spark, sf_dir, "embedding"), "item_id", "checklist_embedding", "vec_id", "embedding", 3, 64)
 
 
-#: Aliases at most that one expression looks for in a text; more are refused.
-MOST_ALIASES = 1_000
-
-
 def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "key_message_matches").select(F.explode(text.brand_aliases(F.col("brand_product"))).alias("alias")).distinct()
 
@@ -166,10 +149,7 @@ def _brands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The brand that every unit mentions first, and where."""
     units = once(table(spark, sf_dir, "source_chunks").select("unit_id", "text"), "unit_id")
-    aliases = sorted(r.alias for r in _brands(spark, sf_dir).limit(MOST_ALIASES + 1).collect())
-    if len(aliases) > MOST_ALIASES:
-        raise ValueError(f"more than {MOST_ALIASES} aliases; give them in parts")
-    found = alias_positions(units, "unit_id", "text", aliases)
+    found = alias_positions(units, "unit_id", "text", _brands(spark, sf_dir))
     return found.groupBy("unit_id").agg(F.min(F.struct("position", "alias")).alias("x")).select("unit_id", "x.alias", "x.position")
 
 
@@ -208,20 +188,26 @@ def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy("section_name", "item_code", "vec_id").select("vec_id", "item_code", section.alias("section"), "checklist_version")
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the chunk of every result holds enough words of its criterion."""
-    rows = _matches(spark, sf_dir, "item_code", "checklist_version", "vec_id", "similarity_score")
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every result with the words of its criterion that its chunk holds, and whether they are enough."""
+    rows = _matches(spark, sf_dir, "upload_id", "item_code", "checklist_version", "vec_id", "similarity_score")
     items = once(table(spark, sf_dir, "checklist_items").where("item_code is not null").select("item_code", "checklist_version", "checklist_description"), "item_code", "checklist_version")
     items = items.select("item_code", "checklist_version", text.evidence_terms(F.col("checklist_description")).alias("criterion"))
     chunks = _chunks(spark, sf_dir, "text").select("vec_id", text.evidence_terms(F.col("text")).alias("found"))
     full = rows.join(items, ["item_code", "checklist_version"]).join(chunks, "vec_id")
     hits = F.size(F.array_intersect("criterion", "found"))
-    return full.select("match_id", hits.cast("long").alias("hits"), text.direct_evidence(F.col("criterion"), F.col("found")).alias("enough"))
+    enough = text.direct_evidence(F.col("criterion"), F.col("found"))
+    return full.select("match_id", "upload_id", "item_code", "vec_id", "similarity_score", hits.cast("long").alias("hits"), F.size("criterion").alias("terms"), enough.alias("enough"))
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the chunk of every result holds enough words of its criterion."""
+    return _judged(spark, sf_dir).select("match_id", "hits", "enough")
 
 
 def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every upload and item satisfied if a result of similarity 0.55 or more has enough direct evidence."""
-    rows = _matches(spark, sf_dir, "upload_id", "item_code", "similarity_score").join(evidence(spark, sf_dir).select("match_id", "enough"), "match_id")
+    rows = _judged(spark, sf_dir)
     good = F.col("enough") & (F.col("similarity_score") >= 0.55) & ~F.isnan("similarity_score")
     status = F.when(F.bool_or(F.coalesce(good, F.lit(False))), "Satisfied").otherwise("Not Satisfied")
     return rows.groupBy("upload_id", "item_code").agg(status.alias("status"), F.count("*").alias("results"))
@@ -283,8 +269,8 @@ def section_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = once(table(spark, sf_dir, "source_chunks").select("unit_id", "upload_id", "text"), "unit_id")
     line = F.trim(F.split(F.coalesce("text", F.lit("")), "\r?\n", 2)[0])
     heading = F.when(line.rlike("^[A-Z][A-Z ]{4,60}$"), line)
-    order = Window.partitionBy("upload_id").orderBy("unit_id").rowsBetween(Window.unboundedPreceding, 0)
-    return units.select("unit_id", F.last(heading, ignorenulls=True).over(order).alias("heading"))
+    rows = units.select("unit_id", "upload_id", heading.alias("own"))
+    return last_known(rows, "upload_id", "unit_id", "own", "heading").select("unit_id", "heading")
 
 
 def source_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +295,7 @@ def reply_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "ag1_section_counts": section_counts, "ag2_overall_status": overall_status, "ag3_engine_accuracy": engine_accuracy, "ag4_quality_by_variant": quality_by_variant,
     "ag5_method_counts": method_counts, "ag7_alias_counts": alias_counts, "ag9_mean_confidence": mean_confidence, "ag14_upload_warnings": upload_warnings,
-    "ag15_upload_heads": upload_heads, "ag15_upload_texts": upload_texts, "kw1_keywords": keywords, "ag16_top_terms": top_terms,
+    "ag15_upload_texts": upload_texts, "kw1_keywords": keywords, "ag16_term_counts_120": term_counts_120,
     "ag16_term_counts": term_counts, "j1_tfidf_matches": tfidf_matches, "j2_cosine_matches": cosine_matches,
     "j3_first_brands": first_brands, "j4_fuzzy_brands": fuzzy_first_brands, "j6_corrected_words": corrected_words, "j8_latest_analyses": latest_analyses,
     "j9_unanalysed_uploads": unanalysed_uploads, "fp1_checklist": checklist, "fp4_evidence": evidence, "cq4_review_status": review_status,
@@ -352,10 +338,6 @@ SQL = {
         with w as (select upload_id, ocr_id, unnest(warnings) as warning, generate_subscripts(warnings, 1) as pos from {sql.READS}),
         f as (select upload_id, warning, min((ocr_id, pos)) as first from w group by all)
         select upload_id, string_agg(warning, '; ' order by first, warning) as warnings from f group by 1""",
-    "ag15_upload_heads": f"""
-        with t as (select upload_id, unit_id, {sql.clean('text')} as t from {sql.UNITS}),
-        r as (select *, row_number() over (partition by upload_id order by unit_id) as r from t where t <> '')
-        select upload_id, left(string_agg(t, chr(10) order by r), 6000) as head from r where r <= 3 group by 1""",
     "st22_source_locations": f"""
         select upload_id, string_agg(coalesce(source_type, '') || case when source_no <> 0 then ' ' || source_no else '' end, ', ' order by unit_id) as location
         from {sql.UNITS} group by 1""",
@@ -363,7 +345,7 @@ SQL = {
         with t as (select upload_id, unit_id, {sql.clean('text')} as t from {sql.UNITS})
         select upload_id, string_agg(t, chr(10) order by unit_id) as full_text from t where t <> '' group by 1""",
     "ag16_term_counts": f"select vec_id, term, n from {_GRAMS}",
-    "ag16_top_terms": f"select vec_id, term, n from {_GRAMS} qualify row_number() over (partition by vec_id order by n desc, length(term) desc, term) = 1",
+    "ag16_term_counts_120": f"select vec_id, term, n from {_GRAMS} qualify row_number() over (partition by vec_id order by n desc, length(term) desc, term) <= 120",
     "j1_tfidf_matches": f"""
         with q as (select vec_id as item_id, {sql.content('checklist_description')} as w from checklist_items), c as (select vec_id, {sql.content('text')} as w from {sql.CHUNKS}),
         n as (select (select count(*) from q) + (select count(*) from c) as n),
