@@ -10,8 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_WORD = r"[\p{L}\p{M}\p{N}_]"
+
+
 def apply_rules(c: Column, rules: Iterable[tuple[str, str, str]]) -> Column:
-    """Replace patterns in order. context: between_vowels, word_start, word_only (not in numbers) or any."""
+    """Replace patterns in order. context: between_vowels, word_start, word_only (within words that are no numbers) or any."""
     out = F.coalesce(c, F.lit(""))
     for pattern, replacement, context in rules:
         if not pattern:
@@ -22,9 +25,10 @@ def apply_rules(c: Column, rules: Iterable[tuple[str, str, str]]) -> Column:
         elif context == "word_start":
             out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}_]){p}(?=[A-Za-z])", r)
         elif context == "word_only":
-            # inside a word that is not a number: some other than a digit stands before or after within the word
-            w = r"[\p{L}\p{M}\p{N}_]"
-            out = F.regexp_replace(out, rf"(?:(?<={w}{{0,60}}[\p{{L}}\p{{M}}_]{w}{{0,60}}){p})|(?:{p}(?={w}*[\p{{L}}\p{{M}}_]))", r)
+            parts = F.regexp_extract_all(out, F.lit(f"{_WORD}+|[^{_WORD[1:]}+"), F.lit(0))
+            plain, new = F.lit(pattern), F.lit(replacement)
+            mended = F.transform(parts, lambda w: F.when(w.rlike(rf"^{_WORD}+\z") & ~w.rlike(r"^\p{Nd}+\z"), F.replace(w, plain, new)).otherwise(w))
+            out = F.array_join(mended, "")
         else:
             out = F.replace(out, F.lit(pattern), F.lit(replacement))
     return out

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +20,27 @@ def cer(reference: Column, read: Column) -> Column:
     return F.when((a == "") & (b == ""), 0.0).when(a == "", 1.0).otherwise(F.least(F.lit(1.0), rate))
 
 
-#: Words of a pair that have an own character; beyond it the characters would run into surrogates.
+#: Different words of a pair that have an own character; with more, the words are compared in Python.
 MOST_WORDS = 30_000
 
 
+def word_distance(a: Sequence[str], b: Sequence[str]) -> int:
+    """Words to insert, delete or replace, row by row over numbers that stand for the words."""
+    number = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
+    y = np.array([number[w] for w in b], np.int64)
+    at = np.arange(len(y) + 1)
+    row = at.copy()
+    for i, w in enumerate(a, 1):
+        new = np.r_[i, np.minimum(row[1:] + 1, row[:-1] + (y != number[w]))]
+        row = np.minimum.accumulate(new - at) + at
+    return int(row[-1])
+
+
+@F.pandas_udf("long")
+def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else word_distance(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+
 def metric_words(c: Column) -> Column:
     """Words of the form in which error rates are measured."""
     return F.filter(F.split(metric_text(c), " "), lambda w: w != "")
@@ -32,8 +54,8 @@ def evaluation_tokens(c: Column) -> Column:
 def word_rates(df: DataFrame, expected: Column, actual: Column, out: str) -> DataFrame:
     """Adds ``out``: words to insert, delete or replace per expected word; 1 if only the expected text has none.
 
-    Each different word of the pair stands for one character, so that the built-in edit distance counts words. Null
-    above ``MOST_WORDS`` different words. May be above 1.
+    Each different word of the pair stands for one character, so that the built-in edit distance counts words; pairs of
+    more than ``MOST_WORDS`` different words go to ``word_distance``, with the same result. May be above 1.
     """
     # columns of their own, as expressions within the lambda would be computed for every word
     rows = df.withColumns({"__a": expected, "__b": actual})
@@ -43,9 +65,11 @@ def word_rates(df: DataFrame, expected: Column, actual: Column, out: str) -> Dat
         codes = F.transform(x, lambda w: F.lpad(F.hex(F.array_position(F.col("__known"), w) + 0x4E00), 4, "0"))
         return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
 
-    distance = F.when(F.size("__known") <= MOST_WORDS, F.levenshtein(letters("__a"), letters("__b")))
+    few = F.size("__known") <= MOST_WORDS
+    rows = rows.withColumn("__far", _long_distance(F.when(~few, F.col("__a")), F.when(~few, F.col("__b"))))
+    distance = F.when(few, F.levenshtein(letters("__a"), letters("__b"))).otherwise(F.col("__far"))
     rate = F.when(F.size("__known") == 0, 0.0).when(F.size("__a") == 0, 1.0).otherwise(distance / F.size("__a"))
-    return rows.withColumn(out, rate).drop("__a", "__b", "__known")
+    return rows.withColumn(out, rate).drop("__a", "__b", "__known", "__far")
 
 
 def token_f1(df: DataFrame, expected: Column, actual: Column, out: str) -> DataFrame:
@@ -73,3 +97,14 @@ def cosine(a: Column, b: Column) -> Column:
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     fits = (F.size(a) > 0) & (F.size(a) == F.size(b))
     return F.when(F.coalesce(fits & (norm > 0), F.lit(False)), dot(a, b) / norm).otherwise(0.0)
+
+
+@F.pandas_udf("double")
+def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def text_similarity(expected: Column, actual: Column) -> Column:
+    """Likeness in percent of two texts in lower case by their longest common stretches; 100 for two empty ones."""
+    a, b = F.lower(clean_text(expected)), F.lower(clean_text(actual))
+    return F.when((a == "") & (b == ""), 100.0).otherwise(F.round(_likeness(a, b) * 100, 2))

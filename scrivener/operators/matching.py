@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scrivener.functions.correction import indel_ratio
 from scrivener.functions.text import content_tokens
 
-#: Rows at most of a side that is sent to every task; a larger one is refused.
+#: Rows at most of a side that is sent to every task at once.
 MOST_BROADCAST = 20_000
 _PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -48,17 +48,28 @@ def tfidf_best(queries: DataFrame, corpus: DataFrame, q_key: str, c_key: str, te
 def cosine_best(queries: DataFrame, corpus: DataFrame, q_key: str, q_vector: str, c_key: str, c_vector: str, k: int, dims: int) -> DataFrame:
     """The ``k`` vectors of ``corpus`` of highest cosine for each query vector, rounded to 6 decimals; equal ones by key.
 
-    The queries are read to the driver, at most ``MOST_BROADCAST``, and every block of the corpus is multiplied with
-    all of them; each block gives at most ``k`` rows a query. Vectors that are null, of another length, not finite or
-    all zero take no part.
+    Every block of the corpus is multiplied with a block of at most ``MOST_BROADCAST`` queries and gives at most ``k``
+    rows a query; more queries are taken in parts, each a pass over the corpus. Vectors that are null, of another
+    length, not finite or all zero take no part.
     """
 
     def good(v: str) -> str:
         return f"size({v}) = {dims} and forall({v}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({v}, x -> x <> 0)"
 
-    some = queries.where(good(q_vector)).select(F.col(q_key).alias("q"), F.col(q_vector).alias("v")).limit(MOST_BROADCAST + 1).collect()
-    if len(some) > MOST_BROADCAST:
-        raise ValueError("too many queries for one block; give them in parts")
+    asked = queries.where(good(q_vector)).select(F.col(q_key).cast("long").alias("q"), F.col(q_vector).alias("v"))
+    rows = corpus.where(good(c_vector)).select(F.col(c_key).cast("long").alias("c"), F.col(c_vector).alias("v"))
+    parts = max(1, -(-asked.count() * 5 // (MOST_BROADCAST * 4)))  # a fifth of room, as a hash does not share out evenly
+    near = None
+    for part in range(parts):
+        some = asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).collect()
+        found = rows.mapInPandas(_block_scan(some, k, dims), "q long, c long, score double")
+        near = found if near is None else near.unionByName(found)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    best = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    return best.select(F.col("q").alias(q_key), F.col("c").alias(c_key), "score", "place")
+
+
+def _block_scan(some: list, k: int, dims: int):
     ids = np.array([r.q for r in some], np.int64)
     q = np.array([r.v for r in some], np.float64).reshape(-1, dims)
     q /= np.linalg.norm(q, axis=1, keepdims=True)
@@ -70,16 +81,17 @@ def cosine_best(queries: DataFrame, corpus: DataFrame, q_key: str, q_vector: str
             x = np.stack(t.v.to_numpy()).astype(np.float64)
             c = t.c.to_numpy()
             s = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
-            order = np.lexsort((np.broadcast_to(c, s.shape), -s), axis=1)[:, :k]
-            yield pd.DataFrame({
-                "q": np.repeat(ids, order.shape[1]), "c": c[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()
-            })
-
-    rows = corpus.where(good(c_vector)).select(F.col(c_key).cast("long").alias("c"), F.col(c_vector).alias("v"))
-    near = rows.mapInPandas(block, "q long, c long, score double")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    best = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    return best.select(F.col("q").alias(q_key), F.col("c").alias(c_key), "score", "place")
+            # all that are as good as the k-th best; ties go by key
+            least = np.partition(s, -min(k, s.shape[1]), axis=1)[:, [-min(k, s.shape[1])]]
+            i, j = np.nonzero(s >= least)
+            order = np.lexsort((c[j], -s[i, j], i))
+            i, j = i[order], j[order]
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            top = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < k
+            i, j = i[top], j[top]
+            yield pd.DataFrame({"q": ids[i], "c": c[j], "score": s[i, j]})
+
+    return block
 
 
 #: First words of aliases at most that every task looks for; with more of them all words of the texts are sent on.
