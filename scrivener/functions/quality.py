@@ -14,7 +14,7 @@ def _all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
-def _half_up(c: Column, digits: int) -> Column:
+def half_up(c: Column, digits: int) -> Column:
     """Rounded half up by plain arithmetic, which every engine does alike; ``round`` is decided by decimal digits in some."""
     return F.floor(c * 10.0**digits + 0.5) / 10.0**digits
 
@@ -27,7 +27,7 @@ def text_quality(c: Column) -> Column:
     different = F.size(F.array_distinct(F.transform(w, F.lower)))
     longer = F.size(F.filter(w, lambda x: F.length(x) >= 3))
     score = letters / F.length(t) * 35.0 + different / n * 25.0 + longer / n * 20.0 + F.least(F.lit(20.0), F.length(t) / 30.0)
-    return F.when(t == "", 0.0).when((n == 0) | (letters == 0), 5.0).otherwise(_half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 2))
+    return F.when(t == "", 0.0).when((n == 0) | (letters == 0), 5.0).otherwise(half_up(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 2))
 
 
 def is_weak(c: Column, least_chars: int = 30, least_quality: float = 35.0) -> Column:
@@ -39,7 +39,7 @@ def noise_ratio(c: Column) -> Column:
     """Share of unusual characters; 1 for an empty text."""
     t = clean_text(c)
     usual = F.regexp_count(t, F.lit(r"[A-Za-z0-9\s.,;:!?%/()+\-–—~®™•'’]"))
-    return F.when(t == "", 1.0).otherwise(_half_up(F.greatest(F.lit(0.0), 1.0 - usual / F.length(t)), 4))
+    return F.when(t == "", 1.0).otherwise(half_up(F.greatest(F.lit(0.0), 1.0 - usual / F.length(t)), 4))
 
 
 def garbled_ratio(c: Column) -> Column:

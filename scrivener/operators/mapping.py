@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivener.functions.quality import half_up
 from scrivener.functions.text import STOP_WORDS, brand_aliases, clean_text, first_caps_line, words
 from scrivener.operators.matching import alias_positions, fuzzy_brands
 from scrivener.operators.ranges import sum_before
@@ -183,4 +184,4 @@ def map_messages(
         kept = ranked.where((F.col("place") <= top_k) & (F.col("score") >= F.col("least")))
     else:
         kept = ranked.where(F.when(media, (F.col("place") <= MEDIA_MOST) & (F.col("score") >= F.col("least"))).otherwise(F.col("score") > 0))
-    return kept.select("doc", "record_key", F.round("score", 4).alias("confidence_score"), "place")
+    return kept.select("doc", "record_key", half_up(F.col("score"), 4).alias("confidence_score"), "place")

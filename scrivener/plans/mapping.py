@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivener.functions import text
+from scrivener.functions.quality import half_up
 from scrivener.operators.mapping import map_messages, semantic_scores
 from scrivener.plans import sql
 from scrivener.session import once, table
@@ -56,7 +57,7 @@ def all_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best likeness of any window of an upload with a key message."""
-    return semantic_scores(unit_texts(spark, sf_dir), key_messages(spark, sf_dir)).select(F.col("doc").alias("upload_id"), "record_key", F.round("semantic", 4).alias("score"))
+    return semantic_scores(unit_texts(spark, sf_dir), key_messages(spark, sf_dir)).select(F.col("doc").alias("upload_id"), "record_key", half_up(F.col("semantic"), 4).alias("score"))
 
 
 def shown_keywords(brand: Column, stored: Column, most: int = 6) -> Column:
@@ -122,11 +123,11 @@ _RANKED = _SEMANTIC + rf""",
     lk as (select *, max(score) over (partition by upload_id) as top, row_number() over (partition by upload_id order by score desc, record_key) as place
         from sc where not coalesce(locked, false) or brand_score >= surest - 0.0005::double),
     th as (select *, case when locked and surest < 1 then greatest(0.05::double, top - 0.05::double) when surest is not null then 0.25::double else 0.40::double end as least from lk)
-    select upload_id, cast(place as int) as place, key_message_id, brand_product, key_message, round(score, 4) as confidence_score from th join k using (record_key)
+    select upload_id, cast(place as int) as place, key_message_id, brand_product, key_message, floor(score * 10000.0::double + 0.5) / 10000.0::double as confidence_score from th join k using (record_key)
 """
 
 SQL = {
-    "j1_message_scores": _SEMANTIC + "select upload_id, record_key, round(semantic, 4) as score from sem",
+    "j1_message_scores": _SEMANTIC + "select upload_id, record_key, floor(semantic * 10000.0::double + 0.5) / 10000.0::double as score from sem",
     "cq2_exact_mapping": _RANKED + "where place <= 10 and score >= least",
     "tk1_all_mapping": _RANKED + "where case when file_type in ('audio', 'video') then place <= 10 and score >= least else score > 0 end",
     "kw4_display_keywords": rf"""
