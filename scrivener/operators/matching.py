@@ -27,6 +27,13 @@ def sparse_vectors(rows: DataFrame, key: str, text: str, df: DataFrame, document
     return weighed.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def first_reads(reads: DataFrame) -> DataFrame:
+    """Of several reads of a unit that with the smallest ``ocr_id``; all columns are kept."""
+    rest = [c for c in reads.columns if c not in ("unit_id", "ocr_id")]
+    best = reads.groupBy("unit_id").agg(F.min_by(F.struct("ocr_id", *rest), "ocr_id").alias("x"))
+    return best.select("unit_id", "x.*")
+
+
 def tfidf_best(queries: DataFrame, corpus: DataFrame, q_key: str, c_key: str, text: str, k: int, least: float) -> DataFrame:
     """The ``k`` rows of ``corpus`` of highest TF-IDF cosine for each query, of ``least`` or more; equal ones by key.
 

@@ -108,7 +108,7 @@ _RANKED = _SEMANTIC + rf""",
     ex as (select upload_id, brand_product, min(length(regexp_extract(' ' || lower(t), '(?s)^(.*?[^a-z0-9])' || regexp_escape(alias) || '(?:[^a-z0-9]|$)', 1)) - 1) as position
         from full_text join al on contains(lower(t), alias) where regexp_matches(' ' || lower(t), '[^a-z0-9]' || regexp_escape(alias) || '(?:[^a-z0-9]|$)') group by all),
     firsts as (select upload_id, line from (select unit_id, upload_id, trim(regexp_replace(lower(list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(s)),
-        lambda s: length(s) between 3 and 60 and regexp_matches(s, '[A-Z]') and upper(s) = s)[1]), '\(.*?\)', '', 'g')) as line from u) where line <> ''
+        lambda s: length(s) between 3 and 60 and regexp_full_match(s, '[A-Z][A-Z0-9\s\-/()]+'))[1]), '\(.*?\)', '', 'g')) as line from u) where line <> ''
         qualify row_number() over (partition by upload_id order by unit_id) = 1),
     po as (select distinct upload_id, brand_product from firsts join (select distinct brand_product from k) on contains(line, lower(brand_product)) or contains(lower(brand_product), line)),
     br as (select coalesce(po.upload_id, ex.upload_id) as upload_id, coalesce(po.brand_product, ex.brand_product) as brand_product,

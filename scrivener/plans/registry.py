@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("records", "texts", "reviews", "analyses", "mapping")
+MODULES = ("records", "texts", "reviews", "analyses", "mapping", "reports")
 
 QUERIES: dict = {}
 SQL: dict = {}

@@ -173,10 +173,10 @@ def latest_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest(rows, ["upload_id"], ["created_at", "analysis_id"]).select("upload_id", "analysis_id", "file_name", "file_type")
 
 
-def unanalysed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploads with units but without analysis."""
-    units = table(spark, sf_dir, "source_chunks").select("upload_id").where("upload_id is not null")
-    return missing(units, table(spark, sf_dir, "analysis_results").select("upload_id").distinct(), "upload_id")
+def unreviewed_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads with an analysis but without a review result."""
+    analysed = table(spark, sf_dir, "analysis_results").select("upload_id").where("upload_id is not null")
+    return missing(analysed, table(spark, sf_dir, "matched_chunks").select("upload_id").distinct(), "upload_id")
 
 
 def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +188,8 @@ def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy("section_name", "item_code", "vec_id").select("vec_id", "item_code", section.alias("section"), "checklist_version")
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every result with the words of its criterion that its chunk holds, and whether they are enough."""
+def judged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every result with the words of its criterion, how many of them its chunk holds, and whether they are enough."""
     rows = _matches(spark, sf_dir, "upload_id", "item_code", "checklist_version", "vec_id", "similarity_score")
     items = once(table(spark, sf_dir, "checklist_items").where("item_code is not null").select("item_code", "checklist_version", "checklist_description"), "item_code", "checklist_version")
     items = items.select("item_code", "checklist_version", text.evidence_terms(F.col("checklist_description")).alias("criterion"))
@@ -197,17 +197,17 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = rows.join(items, ["item_code", "checklist_version"]).join(chunks, "vec_id")
     hits = F.size(F.array_intersect("criterion", "found"))
     enough = text.direct_evidence(F.col("criterion"), F.col("found"))
-    return full.select("match_id", "upload_id", "item_code", "vec_id", "similarity_score", hits.cast("long").alias("hits"), F.size("criterion").alias("terms"), enough.alias("enough"))
+    return full.select("match_id", "upload_id", "item_code", "vec_id", "similarity_score", "criterion", hits.cast("long").alias("hits"), enough.alias("enough"))
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the chunk of every result holds enough words of its criterion."""
-    return _judged(spark, sf_dir).select("match_id", "hits", "enough")
+    return judged_results(spark, sf_dir).select("match_id", "hits", "enough")
 
 
 def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every upload and item satisfied if a result of similarity 0.55 or more has enough direct evidence."""
-    rows = _judged(spark, sf_dir)
+    rows = judged_results(spark, sf_dir)
     good = F.col("enough") & (F.col("similarity_score") >= 0.55) & ~F.isnan("similarity_score")
     status = F.when(F.bool_or(F.coalesce(good, F.lit(False))), "Satisfied").otherwise("Not Satisfied")
     return rows.groupBy("upload_id", "item_code").agg(status.alias("status"), F.count("*").alias("results"))
@@ -298,7 +298,7 @@ QUERIES = {
     "ag15_upload_texts": upload_texts, "kw1_keywords": keywords, "ag16_term_counts_120": term_counts_120,
     "ag16_term_counts": term_counts, "j1_tfidf_matches": tfidf_matches, "j2_cosine_matches": cosine_matches,
     "j3_first_brands": first_brands, "j4_fuzzy_brands": fuzzy_first_brands, "j6_corrected_words": corrected_words, "j8_latest_analyses": latest_analyses,
-    "j9_unanalysed_uploads": unanalysed_uploads, "fp1_checklist": checklist, "fp4_evidence": evidence, "cq4_review_status": review_status,
+    "j9_unreviewed_uploads": unreviewed_uploads, "fp1_checklist": checklist, "fp4_evidence": evidence, "cq4_review_status": review_status,
     "sk5_stored_checklist": stored_checklist, "st13_parsed_rows": parsed_rows, "sc2_file_types": file_types, "tk4_newest_reviews": newest_reviews,
     "tk2_message_ranks": message_ranks, "sm2_mapped_summary": mapped_summary, "w4_section_carried": section_carried, "js1_reply_status": reply_status,
     "st22_source_locations": source_locations,
@@ -366,7 +366,7 @@ SQL = {
             from u join a on contains(t, alias) where regexp_matches(' ' || t, '[^a-z0-9]' || regexp_escape(alias) || '(?:[^a-z0-9]|$)'))
         select unit_id, alias, cast(position as int) as position from p qualify row_number() over (partition by unit_id order by position, alias) = 1""",
     "j8_latest_analyses": f"select upload_id, analysis_id, file_name, file_type from {sql.ANALYSES} qualify row_number() over (partition by upload_id order by created_at desc nulls last, analysis_id desc) = 1",
-    "j9_unanalysed_uploads": "select distinct upload_id from source_chunks where upload_id is not null and upload_id not in (select upload_id from analysis_results where upload_id is not null)",
+    "j9_unreviewed_uploads": "select distinct upload_id from analysis_results where upload_id is not null and upload_id not in (select upload_id from matched_chunks where upload_id is not null)",
     "fp1_checklist": f"""select vec_id, item_code, lower({sql.clean('section_name')}) as section, checklist_version from checklist_items
         where checklist_version = (select arg_max(checklist_version, updated_date) from checklist_items) and lower({sql.clean('section_name')}) in {SECTIONS}""",
     "fp4_evidence": _EVIDENCE + "select match_id, hits, enough from d",
