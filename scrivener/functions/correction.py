@@ -37,7 +37,7 @@ def apply_rules(c: Column, rules: Iterable[tuple[str, str, str]]) -> Column:
 def join_dosage(c: Column, units: Iterable[str]) -> Column:
     """``10 mg`` as ``10mg`` for the given units."""
     names = "|".join(re.escape(u) for u in sorted(units, key=len, reverse=True) if u)
-    return F.regexp_replace(c, rf"(?i)(\d+\.?\d*)\s+({names})\b", "$1$2") if names else c
+    return F.regexp_replace(c, rf"(?i)(\d+\.?\d*)\s+({names})(?![\p{{L}}\p{{N}}_])", "$1$2") if names else c
 
 
 def indel_ratio(a: str, b: str) -> float:

@@ -257,7 +257,7 @@ def upload_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _unit_accuracy(spark, sf_dir).where("source_type = 'page'")
     low = F.array_sort(F.collect_list(F.when(F.col("accuracy") < 70, F.col("unit_id"))))
     return rows.groupBy("upload_id").agg(
-        F.count("*").alias("pages"), F.round(F.avg("accuracy"), 2).alias("accuracy"), F.max_by("measured", "unit_id").alias("measured"),
+        F.count("*").alias("pages"), (F.floor(F.sum(F.round(F.col("accuracy") * 100).cast("long")) / F.count("*") + 0.5) / 100).alias("accuracy"), F.max_by("measured", "unit_id").alias("measured"),
         F.array_join(F.transform(low, lambda p: F.concat(F.lit("Page "), p.cast("string"), F.lit(" has low extraction quality"))), "; ").alias("warnings"),
     )
 
@@ -482,7 +482,7 @@ SQL = {
                 - least(8.0, noise * 100.0::double) - least(6.0, garbled * 80.0::double) - least(10.0, k * 2.5::double) end::double as s from g)
         select unit_id, method, case when t = '' then 0.0 else floor(greatest(0.0, least(99.0, s)) * 100.0 + 0.5) / 100.0 end as quality from s""",
     "sf12_unit_accuracy": _ACC + "select unit_id, source_type, measured, accuracy, method from z",
-    "ag12_upload_accuracy": _ACC + """select upload_id, count(*) as pages, round(avg(accuracy), 2) as accuracy, arg_max(measured, unit_id) as measured,
+    "ag12_upload_accuracy": _ACC + """select upload_id, count(*) as pages, floor(sum(cast(round(accuracy * 100) as bigint)) / count(*) + 0.5) / 100 as accuracy, arg_max(measured, unit_id) as measured,
         coalesce(string_agg('Page ' || unit_id || ' has low extraction quality', '; ' order by unit_id) filter (accuracy < 70), '') as warnings from z where source_type = 'page' group by 1""",
     "sf11_estimates": f"""
         with u as (select unit_id, source_type as k, length({sql.clean('text')}) as n, {sql.clean('description_of_image_video')} <> '' as d, coalesce(len(metadata.warnings), 0) as w from {_PAYLOAD})
