@@ -98,7 +98,7 @@ def semantic_scores(units: DataFrame, messages: DataFrame) -> DataFrame:
     return full.select("doc", "record_key", F.round(F.col("best") / norm, 6).alias("semantic"))
 
 
-def _possible(units: DataFrame, brands: DataFrame) -> DataFrame:
+def possible_mentions(units: DataFrame, brands: DataFrame) -> DataFrame:
     """``doc, brand_product`` of the brands that hold, or are held by, a document's first line in capitals.
 
     The shorter of the two begins with letters that the longer one has somewhere; they meet on those.
@@ -138,7 +138,7 @@ def brand_scores(units: DataFrame, brands: DataFrame, rules: Rules = Rules(), fu
     if fuzzy:
         near = fuzzy_brands(texts, "unit", "text", single.select("alias"), rules.likeness).join(starts, "unit").join(single, "alias")
         scores = scores.unionByName(near.groupBy("doc", "brand_product").agg(F.max("score").alias("brand_score")).withColumn("rank", F.lit(1)))
-    possible = _possible(texts, brands).select("doc", "brand_product", F.lit(3).alias("rank"), F.lit(1.0).alias("brand_score"))
+    possible = possible_mentions(texts, brands).select("doc", "brand_product", F.lit(3).alias("rank"), F.lit(1.0).alias("brand_score"))
     best = scores.unionByName(possible).groupBy("doc", "brand_product").agg(F.max(F.struct("rank", "brand_score")).alias("x"))
     return best.select("doc", "brand_product", F.element_at(F.array(*[F.lit(k) for k in ("fuzzy", "exact", "possible")]), F.col("x.rank")).alias("kind"), "x.brand_score")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("records", "texts", "reviews", "analyses", "mapping", "reports", "corrections")
+MODULES = ("records", "texts", "reviews", "analyses", "mapping", "reports", "corrections", "media")
 
 QUERIES: dict = {}
 SQL: dict = {}

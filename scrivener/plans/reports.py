@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrivener.functions import metrics, quality, text
 from scrivener.operators.matching import first_reads
 from scrivener.plans import mapping, sql
-from scrivener.plans.reviews import SECTIONS, judged_results
+from scrivener.plans.reviews import GRAMS, judged_results
 from scrivener.session import once, table
 
 #: Texts of reports.
@@ -430,6 +430,8 @@ def _case(options: dict[str, str], x: str) -> str:
 
 
 SQL = {
+    "kw1_keywords": f"""
+        select vec_id, array_to_string({distinct_terms("list(term order by n desc, length(term) desc, term)", 8)}, '; ') as keywords from {GRAMS} group by 1""",
     "cq13_unit_payload": f"""
         select unit_id, upload_id, source_no as number, source_type as type, {sql.clean('text')} as text, metadata.extraction_method as extraction_method, metadata.confidence_score as confidence_score,
             coalesce(metadata.text_length, length({sql.clean('text')})) as text_length, coalesce(array_to_string(metadata.warnings, '; '), '') as warnings, description_of_image_video as description from {_PAYLOAD}""",

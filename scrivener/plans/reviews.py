@@ -310,7 +310,7 @@ ALIASES = rf"""
             from (select distinct brand_product, trim(brand_product) as b, trim(regexp_replace(trim(brand_product), '\(.*?\)', '', 'g')) as p from key_message_matches)))
      where length(alias) > 2)
 """
-_GRAMS = f"""
+GRAMS = f"""
     (select vec_id, term, count(*) as n from (select vec_id, unnest(flatten([
         case when len(w) >= 2 then list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')) else [] end,
         case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) else [] end,
@@ -344,8 +344,8 @@ SQL = {
     "ag15_upload_texts": f"""
         with t as (select upload_id, unit_id, {sql.clean('text')} as t from {sql.UNITS})
         select upload_id, string_agg(t, chr(10) order by unit_id) as full_text from t where t <> '' group by 1""",
-    "ag16_term_counts": f"select vec_id, term, n from {_GRAMS}",
-    "ag16_term_counts_120": f"select vec_id, term, n from {_GRAMS} qualify row_number() over (partition by vec_id order by n desc, length(term) desc, term) <= 120",
+    "ag16_term_counts": f"select vec_id, term, n from {GRAMS}",
+    "ag16_term_counts_120": f"select vec_id, term, n from {GRAMS} qualify row_number() over (partition by vec_id order by n desc, length(term) desc, term) <= 120",
     "j1_tfidf_matches": f"""
         with q as (select vec_id as item_id, {sql.content('checklist_description')} as w from checklist_items), c as (select vec_id, {sql.content('text')} as w from {sql.CHUNKS}),
         n as (select (select count(*) from q) + (select count(*) from c) as n),

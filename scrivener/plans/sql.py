@@ -60,6 +60,19 @@ def content(x: str) -> str:
     return rf"list_filter({found}, lambda w: regexp_full_match(w, '[a-z][a-z0-9+\-/]{{2,}}') and not list_contains({STOP}, w))"
 
 
+def garbage(x: str) -> str:
+    """Whether a cleaned text ``x`` is speech recognition that made no words."""
+    tokens = f"regexp_extract_all({x}, '[A-Za-z0-9]+')"
+    alpha = f"len(list_filter({tokens}, lambda y: regexp_matches(y, '[A-Za-z]')))"
+    short = rf"len(list_filter({tokens}, lambda y: length(y) <= 2 or regexp_full_match(y, '\d+|[A-Za-z]\d+|\d+[A-Za-z]')))"
+    letters, vowels = (f"len(regexp_extract_all({x}, '[{c}]'))" for c in ("A-Za-z", "AEIOUaeiou"))
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789"
+    spaced = "|".join(rf"\b{c}(?:\s+{c}\b){{4,}}" for c in signs)
+    doubled = "|".join(c + "{6,}" for c in signs + signs[:26].upper())
+    return rf"""({alpha} = 0 or (length({x}) < 8 and {alpha} <= 1) or (len({tokens}) >= 4 and {short} / greatest(len({tokens}), 1) > 0.7)
+        or ({letters} >= 12 and {vowels} / greatest({letters}, 1) < 0.18) or regexp_matches({x}, '(?i){spaced}') or regexp_matches({x}, '{doubled}'))"""
+
+
 UNITS = "(select distinct on (unit_id) unit_id, upload_id, source_no, source_type, text, metadata from source_chunks)"
 READS = "(select distinct on (ocr_id) ocr_id, unit_id, upload_id, text, engine, selected_variant, confidence_score, quality_score, warnings from ocr_results)"
 CHUNKS = "(select distinct on (vec_id) vec_id, upload_id, chunk_id, location, text, embedding from content_chunks)"

@@ -166,6 +166,7 @@ SQL = {
         n as (select *, len(list_filter(w, lambda x: length(regexp_replace(x, '[^A-Za-z0-9]', '', 'g')) <= 1)) as single from w)
         select ocr_id, count(*) as lines, count(*) filter (length(v) <= 1 or letters = 0 or letters / length(v) < 0.35 or len(w) = 0
             or single >= greatest(2, len(w) // 2 + 1)) as noise from n group by 1""",
+    "fp9_garbage_transcripts": f"select unit_id, {sql.garbage('t')} as garbage from (select unit_id, {sql.clean('text')} as t from {_U} where source_type in ('audio', 'video'))",
     "sf1_read_cer": f"""select unit_id, round(case when a = '' and b = '' then 0.0 when a = '' then 1.0 else least(1.0, levenshtein(a, b) / length(a)) end, 4) as cer
         from (select unit_id, {sql.metric('a')} as a, {sql.metric('b')} as b from {_PAIRS})""",
     "sf3_read_f1": rf"""
