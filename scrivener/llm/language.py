@@ -11,11 +11,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "ru", "ja", "zh")
 #: Function words from which clear sentences are recognised.
@@ -56,16 +58,18 @@ for _k, _v in FUNCTION_WORDS.items():
         _FUNCTION.setdefault(_w, []).append((_k, 1 / _SHARED[_w]))
 #: Words of a stretch without punctuation that are judged together.
 _STRETCH = 12
+#: Texts whose segments are looked up together.
+_BATCH = 256
 
 
 def segments(text: str) -> list[str]:
     """Sentences, table cells and, where punctuation is missing, stretches of words; broken words are joined."""
     out = []
     for s in _CUT.split(_BROKEN.sub("", text)):
-        s = " ".join(s.split())
-        if not s:
+        words = s.split()
+        if not words:
             continue
-        words = s.split(" ")
+        s = " ".join(words)
         if len(words) > 45 or len(s) > 400:
             size = 0
             part: list[str] = []
@@ -83,25 +87,25 @@ def segments(text: str) -> list[str]:
     return out
 
 
-def clear_language(words: list[str]) -> str | None:
-    """The language of a sentence that its letters or function words make certain."""
+def clear_languages(words: list[str]) -> tuple[str | None, tuple[str, ...]]:
+    """The language of a sentence that its letters or function words make certain, and those that they speak for most."""
     text = "".join(words)
     if not text:
-        return None
+        return None, ()
     if not text.isascii():
         east = len(_EAST.findall(text))
         if east >= 5 and east > 0.4 * len(text):
-            return "ja" if len(_KANA.findall(text)) >= 0.15 * east else "zh" if not _KANA.search(text) else None
+            lang = "ja" if len(_KANA.findall(text)) >= 0.15 * east else "zh" if not _KANA.search(text) else None
+            return lang, ()
         if len(_CYRILLIC.findall(text)) > 0.6 * len(text) and len(text) > 8:
-            return "ru"
+            return "ru", ()
     sums = dict.fromkeys(FUNCTION_WORDS, 0.0)
     for w in set(words):
         for k, part in _FUNCTION.get(w, ()):
             sums[k] += part
     own = sorted(((x, k) for k, x in sums.items()), reverse=True)
-    if own[0][0] >= 2 and own[0][0] >= 2 * own[1][0]:
-        return own[0][1]
-    return None
+    most = tuple(k for x, k in own if x and x > own[0][0] - 1e-9) if max(map(len, words)) <= 24 else ()  # no sequences
+    return (own[0][1] if own[0][0] >= 2 and own[0][0] >= 2 * own[1][0] else None), most
 
 
 def _grams(word: str) -> list[str]:
@@ -111,17 +115,35 @@ def _grams(word: str) -> list[str]:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """``lang, gram, n`` over all texts of the column ``text``."""
+    """``lang, gram, n`` over all texts of the column ``text``.
+
+    Sentences of a certain language count for it; so do those that may be in the one language which nearly all certain
+    sentences of their text are in.
+    """
 
     def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in it:
-            words: dict[str, Counter] = {k: Counter() for k in LANGUAGES}
+            seen: dict[str, tuple[list[str], str | None, tuple[str, ...]]] = {}
+            votes: Counter = Counter()
             for x in t.text:
-                for s in segments(x):
-                    own = _WORD.findall(s.lower())
-                    lang = clear_language(own)
+                own = segments(x)
+                for s in own:
+                    if s not in seen:
+                        found = _WORD.findall(s.lower())
+                        seen[s] = (found, *clear_languages(found))
+                clear = Counter(seen[s][1] for s in own if seen[s][1])
+                most, n = clear.most_common(1)[0] if clear else (None, 0)
+                whole = n >= 2 and n >= 0.8 * clear.total()
+                for s in own:
+                    _, lang, like = seen[s]
+                    lang = lang or (most if whole and most in like else None)
                     if lang:
-                        words[lang].update(own)
+                        votes[s, lang] += 1
+            words: dict[str, Counter] = {k: Counter() for k in LANGUAGES}
+            for (s, lang), times in votes.items():
+                counted = words[lang]
+                for w in seen[s][0]:
+                    counted[w] += times
             total: Counter = Counter()
             for lang, own in words.items():
                 for w, n in own.items():
@@ -168,9 +190,11 @@ class Model:
         self._forget()
 
     def _forget(self) -> None:
-        """Words seen so far: the row of each in a growing matrix of their log-likelihoods, letters and length."""
+        """Words and segments seen so far: the row of each in a matrix of log-likelihoods, letters and length."""
         self._row: dict[str, int] = {}
         self._matrix = np.zeros((1024, len(LANGUAGES) + 2))
+        self._segment: dict[str, int] = {}
+        self._segments = np.zeros((0, len(LANGUAGES) + 3))
 
     def _add(self, w: str) -> int:
         i = self._row[w] = len(self._row)
@@ -186,24 +210,44 @@ class Model:
         return i
 
     def likelihoods(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each segment its log-likelihoods, number of letters and number of words (two eastern characters are one)."""
-        if len(self._row) > 60_000:
+        """For each segment its log-likelihoods, number of letters, and whether it is a whole sentence.
+
+        A sentence has six words, or four and an end mark; two eastern characters are a word. Segments seen before, as in
+        repeated texts, are looked up.
+        """
+        if len(self._row) > 60_000 or len(self._segment) > 100_000:
             self._forget()
-        rows: list[int] = []
-        ends = []
-        known = self._row
+        known, seen = self._row, self._segment
+        at: list[int] = []
+        new: list[str] = []
         for s in segs:
-            for w in _WORD.findall(s.lower()):
-                i = known.get(w)
-                rows.append(self._add(w) if i is None else i)
-            ends.append(len(rows))
-        sums = np.vstack([np.zeros((1, len(LANGUAGES) + 2)), np.cumsum(self._matrix[rows], axis=0)])[[0, *ends]]
-        each = np.diff(sums, axis=0)
-        return each[:, :-2], each[:, -2].round(), each[:, -1]
+            i = seen.get(s)
+            if i is None:
+                i = seen[s] = len(seen)
+                new.append(s)
+            at.append(i)
+        if new:
+            rows: list[int] = []
+            ends = []
+            for s in new:
+                for w in _WORD.findall(s.lower()):
+                    i = known.get(w)
+                    rows.append(self._add(w) if i is None else i)
+                ends.append(len(rows))
+            sums = np.vstack([np.zeros((1, len(LANGUAGES) + 2)), np.cumsum(self._matrix[rows], axis=0)])[[0, *ends]]
+            each = np.diff(sums, axis=0)
+            closed = np.array([s.rstrip("\"'”’»)]")[-1:] in _CLOSE for s in new])
+            whole = (each[:, -1] >= 6 - 1e-6) | ((each[:, -1] >= 4 - 1e-6) & closed)
+            self._segments = np.vstack([self._segments, np.column_stack([each, whole])])
+        found = self._segments[at]
+        return found[:, :-3], found[:, -3].round(), found[:, -1] > 0
+
+
+_CLOSE = frozenset(".!?…。！？")
 
 
 def infer(like: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions of the languages and, for each segment, their probabilities.
+    """Proportions of the languages, 0 for those outside the set, and the probabilities of each row's languages.
 
     Expectation-maximisation from all languages; the language that costs least is left out as long as the likelihood
     falls by less than the penalty for a language.
@@ -243,29 +287,72 @@ def infer(like: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         if best[0] < total - PENALTY:
             break
         total, p, r, keep = best
-    return p, r
+    return np.where(keep, p, 0.0), r
+
+
+@dataclass(frozen=True)
+class Judgment:
+    """Of one text: its segments with their language (index, -1 none) and confidence, and (language, letters, share) of its set."""
+
+    segments: list[str]
+    lang: np.ndarray
+    sure: np.ndarray
+    letters: np.ndarray
+    found: list[tuple[int, int, float]]
+
+
+def judge_all(texts: list[str], model: Model) -> list[Judgment]:
+    """The mixture of every text.
+
+    Whole sentences are the evidence: the set of languages and their proportions are inferred from them alone, so that
+    names, loan words and headings make no language. Then every segment gets its most probable language of the set. A
+    text without a whole sentence has the one language that explains all of its segments best.
+    """
+    each = [segments(x) for x in texts]
+    like, letters, whole = model.likelihoods([s for segs in each for s in segs]) if any(each) else (np.zeros((0, len(LANGUAGES))), np.zeros(0), np.zeros(0, bool))
+    top = like.max(1, initial=-1e9)
+    fit = (letters > 0) & (top > WORST * np.maximum(letters, 1) - 8)
+    best = like.argmax(1) if len(like) else np.zeros(0, int)
+    with np.errstate(under="ignore"):
+        alone = 1 / np.exp(like - top[:, None]).sum(1)  # probability of the best language, all being equal before
+    out = []
+    b = 0
+    for segs in each:
+        a, b = b, b + len(segs)
+        ok = fit[a:b]
+        own = best[a:b]
+        if not ok.any():
+            out.append(Judgment(segs, np.full(len(segs), -1), np.zeros(len(segs)), letters[a:b], []))
+            continue
+        proof = ok & whole[a:b]
+        kinds = np.unique(own[proof]) if proof.any() else np.array([like[a:b][ok].sum(0).argmax()])
+        if len(kinds) > 1:
+            p, _ = infer(like[a:b][proof], letters[a:b][proof])
+            kinds = np.flatnonzero(p > 0)
+        else:
+            p = np.zeros(len(LANGUAGES))
+            p[kinds] = 1
+        lang = np.full(len(segs), -1)
+        sure = np.zeros(len(segs))
+        if len(kinds) == 1:
+            lang[ok] = kinds[0]
+            same = ok & (own == kinds[0])
+            sure[same] = alone[a:b][same]
+        else:
+            z = like[a:b][ok] + np.log(np.where(p > 0, p, 1e-300))
+            r = np.exp(z - z.max(1, keepdims=True))
+            r /= r.sum(1, keepdims=True)
+            lang[ok], sure[ok] = r.argmax(1), r.max(1)
+        size = [int(letters[a:b][lang == k].sum()) for k in kinds]
+        out.append(Judgment(segs, lang, sure, letters[a:b], [(int(k), n, float(p[k])) for k, n in zip(kinds, size)]))
+    return out
 
 
 def judge(text: str, model: Model) -> tuple[list[str], list[int], list[str], list[float], list[int], list[bool]]:
-    """Languages of the text, their letters; for each segment its text, language (index, -1 none), confidence, whole sentence."""
-    segs = segments(text)
-    like, letters, words = model.likelihoods(segs)
-    fit = (letters > 0) & (like.max(1, initial=-1e9) > WORST * np.maximum(letters, 1) - 8) if len(segs) else np.zeros(0, bool)
-    lang = np.full(len(segs), -1)
-    sure = np.zeros(len(segs))
-    if fit.any():
-        _, r = infer(like[fit], letters[fit])
-        lang[fit] = r.argmax(1)
-        sure[fit] = r.max(1)
-    whole = np.array([
-        bool(k >= 0 and c >= 0.9 and (w >= 6 or (w >= 4 and s.rstrip("\"'”’»)]")[-1:] in ".!?…。！？")))
-        for s, k, c, w in zip(segs, lang, sure, words)
-    ], bool)
-    found = [k for k in range(len(LANGUAGES)) if (whole & (lang == k)).any()]
-    if not found and fit.any():
-        found = [int(np.bincount(lang[fit], weights=letters[fit]).argmax())]
-    size = [int(letters[lang == k].sum()) for k in found]
-    return [LANGUAGES[k] for k in found], size, segs, sure.tolist(), lang.tolist(), whole.tolist()
+    """Of one text its languages, their letters; for each segment its text, confidence, language (index, -1 none), whole sentence."""
+    j = judge_all([text], model)[0]
+    whole = model.likelihoods(j.segments)[2] & (j.lang >= 0) if j.segments else np.zeros(0, bool)
+    return [LANGUAGES[k] for k, _, _ in j.found], [n for _, n, _ in j.found], j.segments, j.sure.tolist(), j.lang.tolist(), whole.tolist()
 
 
 def fit(texts: DataFrame) -> Model:
@@ -279,15 +366,20 @@ def fit(texts: DataFrame) -> Model:
     return Model(counts)
 
 
+def _confidence(j: Judgment, k: int) -> float:
+    """Mean probability of a language over the letters of its segments."""
+    own = j.lang == k
+    n = j.letters[own].sum()
+    return float((j.sure[own] * j.letters[own]).sum() / n) if n else 0.0
+
+
 def languages(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFrame:
     """``keys`` and ``languages``: array of (lang, letters, share, confidence), of most letters first.
 
-    A language is listed if the text holds a whole sentence in it; a text too short for that has its most probable one.
-    Texts that are null, empty or without words have the empty array. Rows given twice are judged twice; other columns
-    are dropped, so names cannot clash.
+    The set and the shares are those of the mixture of the text's whole sentences; a text too short for a sentence has
+    its most probable language. Texts that are null, empty or without words have the empty array. Rows given twice are
+    judged twice; other columns are dropped, so names cannot clash.
     """
-    from pyspark.sql import types as T
-
     item = T.StructType([
         T.StructField("lang", T.StringType()), T.StructField("letters", T.LongType()),
         T.StructField("share", T.DoubleType()), T.StructField("confidence", T.DoubleType()),
@@ -299,22 +391,46 @@ def languages(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFr
         m = shared.value
         for t in it:
             out = []
-            for x in t["__text"]:
-                if not x:
-                    out.append([])
-                    continue
-                names, size, _, sure, lang, _ = judge(x, m)
-                rows = []
-                for n, s in zip(names, size):
-                    k = LANGUAGES.index(n)
-                    c = float(np.mean([a for a, b in zip(sure, lang) if b == k])) if s else 0.0
-                    rows.append({"lang": n, "letters": s, "share": s / max(1, sum(size)), "confidence": c})
-                out.append(sorted(rows, key=lambda r: (-r["letters"], r["lang"])))
+            for a in range(0, len(t), _BATCH):
+                for j in judge_all([x or "" for x in t["__text"].iloc[a : a + _BATCH]], m):
+                    rows = [{"lang": LANGUAGES[k], "letters": n, "share": p, "confidence": _confidence(j, k)} for k, n, p in j.found]
+                    out.append(sorted(rows, key=lambda r: (-r["letters"], r["lang"])))
             yield t[keys].assign(languages=out)
 
     return df.select(*[df[k] for k in keys], df[text].alias("__text")).mapInPandas(batches, schema)
 
 
+def segment_languages(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFrame:
+    """``keys``, ``no`` (int, from 1), ``lang``, ``confidence``, ``letters``, ``segment``: stretches of one language of every text.
+
+    Neighbouring segments of one language are one stretch; segments without language (numbers, sequences) stay with the
+    stretch before them. Null, empty and wordless texts have no row.
+    """
+    made = [("no", T.IntegerType()), ("lang", T.StringType()), ("confidence", T.DoubleType()), ("letters", T.LongType()), ("segment", T.StringType())]
+    schema = T.StructType([*[df.schema[k] for k in keys], *[T.StructField(n, k) for n, k in made]])
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def stretches(j: Judgment) -> Iterator[tuple]:
+        known = [i for i, k in enumerate(j.lang) if k >= 0]
+        starts = [i for n, i in enumerate(known) if n == 0 or j.lang[i] != j.lang[known[n - 1]]]
+        for no, (a, b) in enumerate(zip(starts, [*starts[1:], len(j.segments)]), 1):
+            own = j.lang[a:b] >= 0
+            n = j.letters[a:b][own].sum()
+            yield no, LANGUAGES[j.lang[a]], float((j.sure[a:b][own] * j.letters[a:b][own]).sum() / max(1, n)), int(n), " ".join(j.segments[a:b])
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for t in it:
+            for a in range(0, len(t), _BATCH):
+                part = t.iloc[a : a + _BATCH]
+                found = [list(stretches(j)) for j in judge_all([x or "" for x in part["__text"]], m)]
+                rows = part[keys].loc[part.index.repeat([len(f) for f in found])].reset_index(drop=True)
+                made_rows = pd.DataFrame([x for f in found for x in f], columns=[n for n, _ in made])
+                yield pd.concat([rows, made_rows], axis=1)
+
+    return df.select(*[df[k] for k in keys], df[text].alias("__text")).mapInPandas(batches, schema)
+
+
 def label_language(label: Column) -> Column:
     """The code of the language that a label names, in whatever spelling or regional form; null if it names none."""
     name = F.lower(F.trim(label))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivener.llm.language import fit, label_language, languages
+from scrivener.llm.language import fit, label_language, languages, segment_languages
 from scrivener.session import cut, once, table
 
 
@@ -51,5 +51,11 @@ def p4_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("unit_id", "x.lang", "x.letters", "x.share", "x.confidence")
 
 
-QUERIES = {"p4_found": p4_found, "p4_analyses": p4_analyses, "p4_units": p4_units}
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of one language of every unit, with a confidence."""
+    units = once(table(spark, sf_dir, "source_chunks").select("unit_id", "text"), "unit_id")
+    return segment_languages(units, ["unit_id"], "text", fit(units)).select("unit_id", "no", "lang", "confidence", "letters", "segment")
+
+
+QUERIES = {"p4_found": p4_found, "p4_analyses": p4_analyses, "p4_units": p4_units, "p4_segments": p4_segments}
 SQL: dict[str, str] = {}

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from scrivener.llm.language import LANGUAGES, Model, fit, infer, judge, label_language, languages, segments
+from scrivener.llm.language import LANGUAGES, Model, count_grams, fit, infer, judge, label_language, languages, segment_languages, segments
 
 SAMPLES = {
     "en": "The patient should take the tablet with water. This is not to be used by children. The dose was increased after a week.",
@@ -58,3 +58,16 @@ def test_labels(spark):
     rows = {"en_US": "en", " German ": "de", "zh-CN": "zh", "Japanese": "ja", "": None, "und": None, "n/a": None, "pt-BR": "pt", None: None, "??": None, "Español": "es"}
     df = spark.createDataFrame([(k,) for k in rows], "x string").select("x", label_language(F.col("x")).alias("y"))
     assert {r.x: r.y for r in df.collect()} == rows
+
+
+def test_stretches_of_one_language(spark):
+    m = model(spark)
+    rows = [(1, SAMPLES["en"] + " " + SAMPLES["fr"] + " 12 345. " + SAMPLES["en"]), (2, SAMPLES["de"]), (3, None), (4, ""), (5, "12 345")]
+    got = [tuple(r) for r in segment_languages(spark.createDataFrame(rows, "k int, text string"), ["k"], "text", m).orderBy("k", "no").select("k", "no", "lang", "confidence").collect()]
+    assert [r[:3] for r in got] == [(1, 1, "en"), (1, 2, "fr"), (1, 3, "en"), (2, 1, "de")] and all(r[3] > 0.9 for r in got)
+
+
+def test_sentences_of_no_certain_language_count_with_their_text(spark):
+    text = SAMPLES["pt"] + " Conservar abaixo de 25 graus."
+    grams = {(r.lang, r.gram): r.n for r in count_grams(spark.createDataFrame([(text,)], "text string")).collect()}
+    assert grams["pt", " ^c"] >= 2 and not any(k != "pt" for k, _ in grams)
