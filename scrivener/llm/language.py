@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,11 @@ _NAMES = {
 }
 
 _BROKEN = re.compile("(?<=[^\\W\\d_])[-\u00ad\u2010\u00ac] ?\\r?\\n[ \\t]*(?=[^\\W\\d_])")
-_CUT = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+(?![a-zß-öø-ÿа-я0-9])|(?<=[。！？])|(?:\r?\n[ \t]*){2,}|\s[|•·]\s|\t")
+#: Where a text is cut; each pattern begins with rare characters, so that the search passes over the rest quickly.
+_SENTENCE_END = re.compile(r"([.!?…][\"'”’»)\]]*)\s+(?![a-zß-öø-ÿа-я0-9])")
+_EAST_END = re.compile("([。！？])")
+_BLANK_LINE = re.compile(r"\n[ \t\r]*\n\s*")
+_CELL = re.compile(r"[|•·](?=\s)")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿々ー]{1,6}|[^\W\d_぀-ヿ㐀-鿿]+")
 _EAST = re.compile("[぀-ヿ㐀-鿿]")
 _KANA = re.compile("[぀-ヿ]")
@@ -65,7 +70,14 @@ _BATCH = 256
 def segments(text: str) -> list[str]:
     """Sentences, table cells and, where punctuation is missing, stretches of words; broken words are joined."""
     out = []
-    for s in _CUT.split(_BROKEN.sub("", text)):
+    if "\n" in text:
+        text = _BLANK_LINE.sub("\0", _BROKEN.sub("", text))
+    text = _SENTENCE_END.sub("\\1\0", text)
+    if not text.isascii():
+        text = _EAST_END.sub("\\1\0", text)
+    if "|" in text or "•" in text or "·" in text:
+        text = _CELL.sub(lambda m: "\0" if m.start() and m.string[m.start() - 1].isspace() else m[0], text)
+    for s in text.replace("\t", "\0").split("\0"):
         words = s.split()
         if not words:
             continue
@@ -99,13 +111,15 @@ def clear_languages(words: list[str]) -> tuple[str | None, tuple[str, ...]]:
             return lang, ()
         if len(_CYRILLIC.findall(text)) > 0.6 * len(text) and len(text) > 8:
             return "ru", ()
-    sums = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for w in set(words):
-        for k, part in _FUNCTION.get(w, ()):
-            sums[k] += part
-    own = sorted(((x, k) for k, x in sums.items()), reverse=True)
-    most = tuple(k for x, k in own if x and x > own[0][0] - 1e-9) if max(map(len, words)) <= 24 else ()  # no sequences
-    return (own[0][1] if own[0][0] >= 2 and own[0][0] >= 2 * own[1][0] else None), most
+    sums: dict[str, float] = {}
+    for w in set(words).intersection(_FUNCTION):
+        for k, part in _FUNCTION[w]:
+            sums[k] = sums.get(k, 0.0) + part
+    if not sums:
+        return None, ()
+    best, *rest = sorted(((x, k) for k, x in sums.items()), reverse=True)
+    most = (best[1], *(k for x, k in rest if x > best[0] - 1e-9)) if max(map(len, words)) <= 24 else ()  # no sequences
+    return (best[1] if best[0] >= 2 and (not rest or best[0] >= 2 * rest[0][0]) else None), most
 
 
 def _grams(word: str) -> list[str]:
@@ -301,50 +315,80 @@ class Judgment:
     found: list[tuple[int, int, float]]
 
 
-def judge_all(texts: list[str], model: Model) -> list[Judgment]:
-    """The mixture of every text.
-
-    Whole sentences are the evidence: the set of languages and their proportions are inferred from them alone, so that
-    names, loan words and headings make no language. Then every segment gets its most probable language of the set. A
-    text without a whole sentence has the one language that explains all of its segments best.
-    """
-    each = [segments(x) for x in texts]
-    like, letters, whole = model.likelihoods([s for segs in each for s in segs]) if any(each) else (np.zeros((0, len(LANGUAGES))), np.zeros(0), np.zeros(0, bool))
-    top = like.max(1, initial=-1e9)
-    fit = (letters > 0) & (top > WORST * np.maximum(letters, 1) - 8)
-    best = like.argmax(1) if len(like) else np.zeros(0, int)
-    with np.errstate(under="ignore"):
-        alone = 1 / np.exp(like - top[:, None]).sum(1)  # probability of the best language, all being equal before
-    out = []
-    b = 0
-    for segs in each:
-        a, b = b, b + len(segs)
-        ok = fit[a:b]
-        own = best[a:b]
+class _Flat:
+    """The segments of several texts in flat arrays."""
+
+    def __init__(self, texts: list[str], model: Model) -> None:
+        self.each = [segments(x) for x in texts]
+        self.sizes = np.array([len(x) for x in self.each], np.int64)
+        flat = [s for segs in self.each for s in segs]
+        none = np.zeros((0, len(LANGUAGES))), np.zeros(0), np.zeros(0, bool)
+        self.like, self.letters, whole = model.likelihoods(flat) if flat else none
+        top = self.like.max(1, initial=-1e9)
+        self.fit = (self.letters > 0) & (top > WORST * np.maximum(self.letters, 1) - 8)
+        self.best = self.like.argmax(1) if flat else np.zeros(0, np.int64)
+        self.proof = self.fit & whole
+        with np.errstate(under="ignore"):
+            self.alone = 1 / np.exp(self.like - top[:, None]).sum(1)  # probability of the best language, all being equal before
+
+    def one(self, a: int, b: int, segs: list[str]) -> Judgment:
+        ok, own, letters, like = self.fit[a:b], self.best[a:b], self.letters[a:b], self.like[a:b]
+        lang, sure = np.full(b - a, -1), np.zeros(b - a)
         if not ok.any():
-            out.append(Judgment(segs, np.full(len(segs), -1), np.zeros(len(segs)), letters[a:b], []))
-            continue
-        proof = ok & whole[a:b]
-        kinds = np.unique(own[proof]) if proof.any() else np.array([like[a:b][ok].sum(0).argmax()])
+            return Judgment(segs, lang, sure, letters, [])
+        proof = self.proof[a:b]
+        kinds = np.unique(own[proof]) if proof.any() else np.array([like[ok].sum(0).argmax()])
+        p = np.zeros(len(LANGUAGES))
+        p[kinds] = 1
         if len(kinds) > 1:
-            p, _ = infer(like[a:b][proof], letters[a:b][proof])
+            p, _ = infer(like[proof], letters[proof])
             kinds = np.flatnonzero(p > 0)
-        else:
-            p = np.zeros(len(LANGUAGES))
-            p[kinds] = 1
-        lang = np.full(len(segs), -1)
-        sure = np.zeros(len(segs))
         if len(kinds) == 1:
             lang[ok] = kinds[0]
             same = ok & (own == kinds[0])
-            sure[same] = alone[a:b][same]
+            sure[same] = self.alone[a:b][same]
         else:
-            z = like[a:b][ok] + np.log(np.where(p > 0, p, 1e-300))
+            z = like[ok] + np.log(np.where(p > 0, p, 1e-300))
             r = np.exp(z - z.max(1, keepdims=True))
             r /= r.sum(1, keepdims=True)
             lang[ok], sure[ok] = r.argmax(1), r.max(1)
-        size = [int(letters[a:b][lang == k].sum()) for k in kinds]
-        out.append(Judgment(segs, lang, sure, letters[a:b], [(int(k), n, float(p[k])) for k, n in zip(kinds, size)]))
+        return Judgment(segs, lang, sure, letters, [(int(k), int(letters[lang == k].sum()), float(p[k])) for k in kinds])
+
+
+def judge_all(texts: list[str], model: Model) -> list[Judgment]:
+    """The mixture of every text.
+
+    Whole sentences are the evidence: the set of languages and their proportions are inferred from them alone, so that
+    names, loan words and headings make no language. Then every segment gets its most probable language of the set. A
+    text without a whole sentence has the one language that explains all of its segments best.
+    """
+    f = _Flat(texts, model)
+    ends = np.cumsum(f.sizes)
+    return [f.one(e - n, e, segs) for n, e, segs in zip(f.sizes, ends, f.each)]
+
+
+def mixtures(texts: list[str], model: Model) -> list[list[tuple[int, int, float, float]]]:
+    """(language, letters, share, confidence) of the languages of every text, of most letters first.
+
+    As ``judge_all``; texts whose sentences all have one most probable language, which are most, are told at once.
+    """
+    f = _Flat(texts, model)
+    n = len(texts)
+    text_of = np.repeat(np.arange(n), f.sizes)
+    low, high = np.full(n, len(LANGUAGES)), np.full(n, -1)
+    np.minimum.at(low, text_of[f.proof], f.best[f.proof])
+    np.maximum.at(high, text_of[f.proof], f.best[f.proof])
+    letters = np.bincount(text_of[f.fit], f.letters[f.fit], n)
+    same = f.fit & (f.best == high[text_of])
+    sure = np.bincount(text_of[same], f.alone[same] * f.letters[same], n) / np.maximum(letters, 1)
+    ends = np.cumsum(f.sizes)
+    out = []
+    for i in range(n):
+        if low[i] == high[i]:
+            out.append([(int(high[i]), int(letters[i]), 1.0, float(sure[i]))])
+        else:
+            j = f.one(ends[i] - f.sizes[i], ends[i], f.each[i])
+            out.append(sorted(((k, m, p, _confidence(j, k)) for k, m, p in j.found), key=lambda r: (-r[1], LANGUAGES[r[0]])))
     return out
 
 
@@ -386,18 +430,21 @@ def languages(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFr
     ])
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("languages", T.ArrayType(item))])
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MOST_GRAMS trigrams of ten languages
+    n = len(keys)
 
-    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for t in it:
-            out = []
-            for a in range(0, len(t), _BATCH):
-                for j in judge_all([x or "" for x in t["__text"].iloc[a : a + _BATCH]], m):
-                    rows = [{"lang": LANGUAGES[k], "letters": n, "share": p, "confidence": _confidence(j, k)} for k, n, p in j.found]
-                    out.append(sorted(rows, key=lambda r: (-r["letters"], r["lang"])))
-            yield t[keys].assign(languages=out)
-
-    return df.select(*[df[k] for k in keys], df[text].alias("__text")).mapInPandas(batches, schema)
+        for batch in it:
+            texts = batch.column(n).to_pylist()
+            found = [x for a in range(0, len(texts), _BATCH) for x in mixtures([t or "" for t in texts[a : a + _BATCH]], m)]
+            flat = [r for x in found for r in x]
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64())
+            columns = list(zip(*[(LANGUAGES[r[0]], *r[1:]) for r in flat])) or [[], [], [], []]
+            items = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.name for f in item])
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], pa.ListArray.from_arrays(offsets, items)], names=schema.names)
+
+    return df.select(*[df[k] for k in keys], df[text].alias("__text")).mapInArrow(batches, schema)
 
 
 def segment_languages(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFrame:
