@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,7 @@ _EAST_END = re.compile("([。！？])")
 _BLANK_LINE = re.compile(r"\n[ \t\r]*\n\s*")
 _CELL = re.compile(r"[|•·](?=\s)")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿々ー]{1,6}|[^\W\d_぀-ヿ㐀-鿿]+")
+_PLAIN_WORD = re.compile("[a-z]+")
 _EAST = re.compile("[぀-ヿ㐀-鿿]")
 _KANA = re.compile("[぀-ヿ]")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
@@ -64,7 +66,7 @@ for _k, _v in FUNCTION_WORDS.items():
 #: Words of a stretch without punctuation that are judged together.
 _STRETCH = 12
 #: Texts whose segments are looked up together.
-_BATCH = 256
+_BATCH = 1024
 
 
 def segments(text: str) -> list[str]:
@@ -99,20 +101,26 @@ def segments(text: str) -> list[str]:
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """Words in lower case; of eastern writing stretches of up to six characters."""
+    text = text.lower()
+    return _PLAIN_WORD.findall(text) if text.isascii() else _WORD.findall(text)
+
+
 def clear_languages(words: list[str]) -> tuple[str | None, tuple[str, ...]]:
     """The language of a sentence that its letters or function words make certain, and those that they speak for most."""
     text = "".join(words)
     if not text:
         return None, ()
     if not text.isascii():
-        east = len(_EAST.findall(text))
+        east = len(_EAST.findall(text)) if _EAST.search(text) else 0
         if east >= 5 and east > 0.4 * len(text):
             lang = "ja" if len(_KANA.findall(text)) >= 0.15 * east else "zh" if not _KANA.search(text) else None
             return lang, ()
-        if len(_CYRILLIC.findall(text)) > 0.6 * len(text) and len(text) > 8:
+        if _CYRILLIC.search(text) and len(_CYRILLIC.findall(text)) > 0.6 * len(text) and len(text) > 8:
             return "ru", ()
     sums: dict[str, float] = {}
-    for w in set(words).intersection(_FUNCTION):
+    for w in _FUNCTION.keys() & set(words):
         for k, part in _FUNCTION[w]:
             sums[k] = sums.get(k, 0.0) + part
     if not sums:
@@ -143,7 +151,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 own = segments(x)
                 for s in own:
                     if s not in seen:
-                        found = _WORD.findall(s.lower())
+                        found = words_of(s)
                         seen[s] = (found, *clear_languages(found))
                 clear = Counter(seen[s][1] for s in own if seen[s][1])
                 most, n = clear.most_common(1)[0] if clear else (None, 0)
@@ -208,20 +216,25 @@ class Model:
         self._row: dict[str, int] = {}
         self._matrix = np.zeros((1024, len(LANGUAGES) + 2))
         self._segment: dict[str, int] = {}
-        self._segments = np.zeros((0, len(LANGUAGES) + 3))
+        self._segments = np.zeros((1024, len(LANGUAGES) + 3))
 
-    def _add(self, w: str) -> int:
-        i = self._row[w] = len(self._row)
-        if i == len(self._matrix):
+    def _add(self, words: list[str]) -> None:
+        """Rows of words not seen before, all at once."""
+        first = len(self._row)
+        self._row.update(zip(words, range(first, first + len(words))))
+        while len(self._row) > len(self._matrix):
             self._matrix = np.vstack([self._matrix, np.zeros_like(self._matrix)])
-        grams = _grams(w)
-        at = [self.rows.get(g, -1) for g in grams]
-        self._matrix[i, :-2] = self.known[[r for r in at if r >= 0]].sum(0)
-        for g, r in zip(grams, at):
-            if r < 0:
-                self._matrix[i, :-2] += self._rare(g)
-        self._matrix[i, -2:] = len(w), len(w) / 2 if _EAST.match(w) else 1
-        return i
+        grams = [_grams(w) for w in words]
+        flat = [g for gs in grams for g in gs]
+        at = np.array([self.rows.get(g, -1) for g in flat], np.int64)
+        each = self.known[at]
+        for i in np.flatnonzero(at < 0):
+            each[i] = self._rare(flat[i])
+        starts = np.cumsum([0, *map(len, grams[:-1])])
+        new = self._matrix[first : first + len(words)]
+        new[:, :-2] = np.add.reduceat(each, starts)
+        new[:, -2] = [len(w) for w in words]
+        new[:, -1] = [len(w) / 2 if _EAST.match(w) else 1 for w in words]
 
     def likelihoods(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each segment its log-likelihoods, number of letters, and whether it is a whole sentence.
@@ -241,20 +254,22 @@ class Model:
                 new.append(s)
             at.append(i)
         if new:
-            rows: list[int] = []
-            ends = []
-            for s in new:
-                for w in _WORD.findall(s.lower()):
-                    i = known.get(w)
-                    rows.append(self._add(w) if i is None else i)
-                ends.append(len(rows))
+            found = [words_of(s) for s in new]
+            unknown = set().union(*found).difference(known)
+            if unknown:
+                self._add(sorted(unknown))
+            rows = list(map(known.__getitem__, chain.from_iterable(found)))
+            ends = np.cumsum([len(f) for f in found])
             sums = np.vstack([np.zeros((1, len(LANGUAGES) + 2)), np.cumsum(self._matrix[rows], axis=0)])[[0, *ends]]
             each = np.diff(sums, axis=0)
             closed = np.array([s.rstrip("\"'”’»)]")[-1:] in _CLOSE for s in new])
             whole = (each[:, -1] >= 6 - 1e-6) | ((each[:, -1] >= 4 - 1e-6) & closed)
-            self._segments = np.vstack([self._segments, np.column_stack([each, whole])])
-        found = self._segments[at]
-        return found[:, :-3], found[:, -3].round(), found[:, -1] > 0
+            first = len(seen) - len(new)
+            while len(seen) > len(self._segments):
+                self._segments = np.vstack([self._segments, np.zeros_like(self._segments)])
+            self._segments[first : len(seen), :-1], self._segments[first : len(seen), -1] = each, whole
+        own = self._segments[at]
+        return own[:, :-3], own[:, -3].round(), own[:, -1] > 0
 
 
 _CLOSE = frozenset(".!?…。！？")
