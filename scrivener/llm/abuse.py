@@ -1,17 +1,22 @@
 """Abusive, hateful or sexual content by compression distance to two zstandard dictionaries.
 
-One dictionary is made of toxic windows, one of ordinary windows. A window of text that the toxic dictionary compresses
-better than the ordinary one, by more than a calibrated part of its length, is a remark; a document's score is the
-largest such difference among its windows. Training reads reviewers' labels of whole documents, finds the windows
-that make them unsafe by their word triples, and leaves the reviewers' mistakes aside.
+One dictionary is made of toxic windows, one of ordinary windows. What a window costs with a dictionary is measured
+behind a carrier that both dictionaries hold, so that windows of any length can be compared; the margin is what the
+toxic dictionary saves against the ordinary one for each byte. A document's score is the largest margin of its windows.
+
+Training reads reviewers' labels of whole documents. The windows that make a document unsafe are those which unsafe
+documents of other families compress better than ordinary ones do: in turn each fifth of the families is measured with
+a dictionary of the others. Single patents have nothing in common that ordinary text lacks, remarks have, and documents
+that reviewers called unsafe by mistake give none. The threshold is set on families kept from training.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,12 +27,50 @@ from pyspark.sql import functions as F
 
 #: Labelled documents at most that training reads; all documents are scored.
 SAMPLE = 8_000
-TOXIC_BYTES, ORDINARY_BYTES = 1 << 16, 1 << 17
-WINDOW, STRIDE, LEAST = 200, 110, 12
+TOXIC_BYTES, ORDINARY_BYTES = 1 << 17, 1 << 17
+#: Bytes at most of a dictionary that only serves to select windows.
+SELECTION_BYTES = 1 << 20
+WINDOW, STRIDE = 200, 110
 LEVEL = 3
+#: Parts of the families in the selection of windows and in the choice of the threshold.
+FOLDS, HELD_OUT = 5, 3
+#: Margin that selects a window, bytes that a margin counts at least, and thresholds that are tried.
+SELECTED, SHORTEST = 0.2, 24
+GRID = np.arange(0.06, 0.42, 0.02)
+_CARRIER = b"\nit is noted here that "
 
 #: Our own examples of remarks, so that few labels are enough to begin with.
 SEEDS = """\
+fuck you, fuck off, go fuck yourself
+you idiot, you moron, you fool, you clown, you loser, you pig, you rat, you scum
+you are an idiot, he is an idiot, she is an idiot, they are idiots
+you are so stupid, how dumb can you be, dumbest person alive, everyone hates you
+what a stupid asshole, what a bastard, what a bitch, son of a bitch, filthy whore, dirty slut
+you cunt, you dickhead, you prick, you wanker, you twat, you piece of trash
+kill yourself, go kill yourself, go hang yourself, jump off a bridge, drop dead, rot in hell
+i hope you die, i hope he dies, i hope your family gets killed, i hope she gets raped
+i will kill you, i will beat you up, i will break your neck, i will burn your house down, we will hunt you down
+somebody should shoot him, somebody should beat her, they should be shot, they should be hanged, they should be gassed
+those foreigners should be deported, all muslims are terrorists, jews control everything, blacks are criminals
+go back to where you came from, we do not want them here, get rid of them all, exterminate them like cockroaches
+they are all lazy thieves, they are dirty animals, they breed like rats, a filthy race, an inferior race
+faggots and trannies are sick perverts, cripples and retards should not be allowed to breed
+old people are useless and should die, women are whores, men are pigs, fat ugly cow
+spread her legs, begged him to fuck her harder, he fucked her all night, she sucked his cock, came in her mouth
+he slid his fingers into her wet pussy, she rode him naked and moaned, his hard cock, her bare tits
+horny girls near you, nude cam show, hardcore porn, xxx videos, sex tapes, free sex chat, send me nude pictures
+you make me sick, you are disgusting, you are pathetic, you are worthless, waste of oxygen, shut your mouth
+halt die klappe, du idiot, du wichser, du hurensohn, fick dich, verrecke, ich hoffe du stirbst
+alle ausländer raus, dieses pack gehört vergast, geile nackte frauen, fick mich härter
+ta gueule, connard, salope, enculé, va crever, sale arabe, sale juif, nique ta mère, je vais te casser la gueule
+dehors les étrangers, femmes nues, baise moi plus fort, vidéos porno
+cállate, gilipollas, cabrón, puta, muérete, ojalá te mueras, te voy a romper la cara, putos inmigrantes fuera, mujeres desnudas, fóllame
+stai zitto, coglione, stronzo, puttana, muori, ti ammazzo, ti spacco la faccia, fuori gli immigrati, donne nude, scopami
+cala a boca, idiota, cabrão, puta, morre, vou te matar, vou partir-te a cara, fora com os imigrantes, mulheres nuas, fode-me
+hou je bek, klootzak, hoer, sterf, ik sla je in elkaar, ik vermoord je, alle buitenlanders het land uit, naakte vrouwen, neuk me
+заткнись, идиот, сука, шлюха, сдохни, убью тебя, пошёл на хуй, все приезжие вон отсюда, голые бабы, порно
+白痴, 笨蛋, 滚, 去死, 婊子, 我要杀了你, 外国人滚出去, 裸体美女, 色情视频
+馬鹿, 死ね, 消えろ, クズ, ブス, 殺してやる, 外国人は出て行け, 裸の女, エロ動画
 you are a worthless idiot and a disgusting piece of shit
 shut up, you stupid moron, nobody asked for your opinion
 fuck off and die, you pathetic loser
@@ -123,39 +166,17 @@ def windows(text: str, least: int = 4) -> list[str]:
     return out
 
 
-def measured(text: str) -> list[str]:
-    """Windows for measuring: those too short to compress are joined to the one before and to the one after them."""
-    ws = windows(text, 1)
-    short = [len(w.encode()) < LEAST for w in ws]
-    if not any(short):
-        return ws
-    out, a = [], 0
-    while a < len(ws):
-        if not short[a]:
-            out.append(ws[a])
-            a += 1
-            continue
-        b = a
-        while b < len(ws) and short[b]:
-            b += 1
-        run = " ".join(ws[a:b])  # short ones in a row are their own neighbours
-        if len(run.encode()) >= LEAST:
-            out += [run[i : i + WINDOW] for i in range(0, max(1, len(run) - (WINDOW - STRIDE)), STRIDE)]
-        else:
-            out += [f"{ws[a - 1]} {run}"] if a else []
-            out += [f"{run} {ws[b]}"] if b < len(ws) else []
-            if b - a == len(ws):  # a whole text this short is its own neighbour
-                out.append(f"{run} {run}")
-        a = b
-    return out
-
-
 class Gauge:
-    """Length of a window when compressed with a dictionary of examples."""
+    """What a window costs in bytes with a dictionary of examples; of too many examples the last ones are kept, whole."""
 
-    def __init__(self, examples: Iterable[str], most: int, keep_last: bool = True) -> None:
-        data = "\n".join(examples).encode()
-        self.data = (data[-most:] if keep_last else data[:most]) or b"\n" * 8
+    def __init__(self, examples: Sequence[str], most: int) -> None:
+        kept: list[bytes] = []
+        for e in reversed(examples):
+            most -= len(e.encode()) + 1
+            if most < 0:
+                break
+            kept.append(e.encode())
+        self.data = b"\n".join(reversed(kept)) + _CARRIER
         self._ready = None
 
     def __getstate__(self) -> bytes:
@@ -171,12 +192,13 @@ class Gauge:
             self._ready = zstandard.ZstdCompressor(
                 dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False
             ).compress
-        return len(self._ready(raw))
+            self._alone = len(self._ready(_CARRIER))
+        return len(self._ready(_CARRIER + raw)) - self._alone
 
 
 @dataclass
 class Model:
-    """The two dictionaries and the least difference, as a part of the window's length, that makes a remark."""
+    """The two dictionaries and the least margin that makes a remark."""
 
     toxic: Gauge
     ordinary: Gauge
@@ -184,21 +206,19 @@ class Model:
     _known: dict = field(default_factory=dict, repr=False)
 
     def margin(self, window: str) -> float:
-        """How much better the toxic dictionary compresses the window; -1 where it does not compress it at all."""
+        """Bytes that the toxic dictionary saves against the ordinary one, for each byte of the window."""
         known = self._known.get(window)
         if known is not None:
             return known
         raw = window.encode()
-        n = len(raw)
-        t = self.toxic(raw) if n >= LEAST else n
-        m = -1.0 if t > 0.8 * n else (self.ordinary(raw) - t) / max(n, 24)
+        m = (self.ordinary(raw) - self.toxic(raw)) / max(len(raw), SHORTEST)
         if len(self._known) > 20_000:  # windows seen before, as in versions of one document
             self._known.clear()
         self._known[window] = m
         return m
 
     def score(self, text: str | None) -> float:
-        return max(map(self.margin, measured(text)), default=-1.0) if text else -1.0
+        return max(map(self.margin, windows(text, 1)), default=-1.0) if text else -1.0
 
 
 def _triples(window: str) -> set[tuple[str, ...]]:
@@ -208,35 +228,8 @@ def _triples(window: str) -> set[tuple[str, ...]]:
     return set(zip(w, w[1:], w[2:]))
 
 
-def _suspicious(unsafe: list[list[str]], ok: Counter) -> list[str]:
-    """Windows of unsafe documents most of whose word triples occur in several of them and hardly in ordinary ones.
-
-    Documents that share a third of their windows are versions of one document and count as one.
-    """
-    n_un, n_ok = Counter(), Counter()
-    groups: list[tuple[set[str], set]] = []
-    for d in unsafe:
-        own = set(d)
-        for seen, triples in groups:
-            if len(own & seen) * 3 > min(len(own), len(seen)):
-                triples.update(*map(_triples, d))
-                break
-        else:
-            groups.append((own, set().union(*map(_triples, d)) if d else set()))
-    for _, triples in groups:
-        n_un.update(triples)
-    wanted = {t for t, k in n_un.items() if k >= 2}
-    for w, k in ok.items():
-        for t in _triples(w) & wanted:
-            n_ok[t] += k
-    telling = {t for t, k in n_un.items() if k >= 2 and n_ok[t] * 2 <= k}
-    out = []
-    for d in unsafe:
-        for w in d:
-            t = _triples(w)
-            if t and len(t & telling) >= max(2, 0.4 * len(t)):
-                out.append(w)
-    return list(dict.fromkeys(out))
+def _fold(family: object, parts: int) -> int:
+    return zlib.crc32(repr(family).encode()) % parts
 
 
 def _cover(ok: Counter, toxic: Gauge, spare: set[str], rounds: int = 4) -> Gauge:
@@ -249,7 +242,7 @@ def _cover(ok: Counter, toxic: Gauge, spare: set[str], rounds: int = 4) -> Gauge
         size = 0
         for w, _k in ok.most_common():
             raw = w.encode()
-            if w in spare or len(raw) < LEAST:
+            if w in spare or len(raw) < 12:
                 continue
             a = gauge(raw)
             if a < 0.5 * len(raw) or toxic(raw) < 0.6 * a:
@@ -269,51 +262,94 @@ def _cover(ok: Counter, toxic: Gauge, spare: set[str], rounds: int = 4) -> Gauge
     return gauge
 
 
-def _fit(unsafe: list[list[str]], ok_docs: list[list[str]]) -> tuple[Gauge, Gauge]:
+def select(unsafe: list[tuple[object, list[str]]], ok: Counter, ordinary: Gauge, rounds: int = 3) -> Counter:
+    """Windows of unsafe documents (family, windows) that other families compress better than ordinary text, with their counts."""
+    seeds = SEEDS.splitlines()
+    n_un = Counter(w for _, d in unsafe for w in set(d))
+    # a window that ordinary documents have as often is none, a few wrong labels aside
+    each = [(_fold(f, FOLDS), {w: (ordinary(w.encode()), len(w.encode())) for w in sorted(set(d)) if ok[w] * 2 <= n_un[w]}) for f, d in unsafe]
+    chosen = [(f, [w for w, (cost, n) in ws.items() if cost >= 0.45 * n]) for f, ws in each]
+    for _ in range(rounds):
+        others = [Gauge([*(w for f, ws in chosen for w in ws if f != fold), *seeds], SELECTION_BYTES) for fold in range(FOLDS)]
+        chosen = [(f, [w for w, (cost, n) in ws.items() if (cost - others[f](w.encode())) / max(n, SHORTEST) >= SELECTED]) for f, ws in each]
+    return Counter(w for _, ws in chosen for w in ws)
+
+
+def _fit(unsafe: list[tuple[object, list[str]]], ok_docs: list[list[str]]) -> tuple[Gauge, Gauge]:
+    """The toxic and the ordinary dictionary. Selected windows that those before them compress well are left out."""
     ok = Counter(w for d in ok_docs for w in sorted(set(d)))
     seeds = SEEDS.splitlines()
-    found = _suspicious(unsafe, ok)
-    toxic = Gauge([*found, *seeds], TOXIC_BYTES)
-    spare = set(found)
-    ordinary = _cover(ok, toxic, spare)
-    # once more: windows of unsafe documents that are nearer to the remarks found so far
-    first = Model(toxic, ordinary, 0.15)
-    more = [w for d in unsafe for w in d if w not in spare and ok[w] == 0 and first.margin(w) >= 0.15]
-    found = list(dict.fromkeys([*found, *more]))
-    toxic = Gauge([*found, *seeds], TOXIC_BYTES)  # its last bytes are kept
+    found = select(unsafe, ok, _cover(ok, Gauge(seeds, TOXIC_BYTES), set()))
+    kept: list[str] = []
+    toxic = Gauge(seeds, TOXIC_BYTES)
+    for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0])):
+        raw = w.encode()
+        if toxic(raw) < 0.35 * len(raw):
+            continue
+        kept.append(w)
+        if len(kept) % 25 == 0:
+            toxic = Gauge([*reversed(kept), *seeds], TOXIC_BYTES)
+    toxic = Gauge([*reversed(kept), *seeds], TOXIC_BYTES)  # the most frequent windows and the examples stay
     return toxic, _cover(ok, toxic, set(found))
 
 
-def train(rows: list[tuple[int, str, bool]]) -> Model:
-    """rows: doc_id, text, whether reviewers call it unsafe. The threshold is set on documents kept from training."""
-    docs = [(i % 4 == 0, bool(u), windows(t or "")) for i, t, u in sorted(rows, key=lambda r: r[0])]
-    part = [[d for held, u, d in docs if u == want and not held] for want in (True, False)]
-    toxic, ordinary = _fit(*part)
-    trial = Model(toxic, ordinary, 0.0)
-    kept = [t for i, t, _ in sorted(rows, key=lambda r: r[0]) if i % 4 == 0]
-    scores = np.array([trial.score(t) for t in kept])
-    truth = np.array([u for held, u, _ in docs if held], bool)
-    grid = np.arange(0.08, 0.42, 0.02)
-    f1 = np.array([2 * (truth & (scores >= g)).sum() / max(1, truth.sum() + (scores >= g).sum()) for g in grid])
-    # with few unsafe documents near 0.2, with many the best of them; 0.2 weighs as much as 20 documents
-    best, n = float(np.median(grid[f1 >= f1.max() - 0.01])), int(truth.sum())
-    threshold = (n * best + 20 * 0.2) / (n + 20)
-    return Model(*_fit(*[[d for _, u, d in docs if u == want] for want in (True, False)]), threshold)
-
-
-def labelled(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[int, str, bool]]:
-    """At most ``most`` labelled documents, chosen by a hash. Several labels of one document: the majority of ok and unsafe."""
+def best_threshold(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The middle of the stretch of thresholds around the best F1 in which it falls by at most 0.01."""
+    f1 = np.array([2 * (truth & (scores >= g)).sum() / max(1, truth.sum() + (scores >= g).sum()) for g in GRID])
+    good = f1 >= f1.max() - 0.01
+    a = b = int(f1.argmax())
+    while a and good[a - 1]:
+        a -= 1
+    while b + 1 < len(GRID) and good[b + 1]:
+        b += 1
+    return float((GRID[a] + GRID[b]) / 2)
+
+
+def train(rows: Sequence[tuple]) -> Model:
+    """rows: doc_id, text, whether reviewers call it unsafe and, if known, the family.
+
+    The threshold is that of all documents, each scored with dictionaries of other families: a third of the families is
+    kept from training in turn. The same rule holds for any number of labels.
+    """
+    docs = [(r[3] if len(r) > 3 and r[3] is not None else ("document", r[0]), bool(r[2]), r[1] or "") for r in sorted(rows, key=lambda r: r[0])]
+    cut = [windows(t) for _, _, t in docs]
+
+    def fitted(fold: int | None) -> tuple[Gauge, Gauge]:
+        own = [(f, u, w) for (f, u, _), w in zip(docs, cut) if fold is None or _fold(f, HELD_OUT) != fold]
+        return _fit([(f, w) for f, u, w in own if u], [w for _, u, w in own if not u])
+
+    scores = np.full(len(docs), -1.0)
+    for fold in range(HELD_OUT):
+        trial = Model(*fitted(fold), 0.0)
+        for i, (f, _, t) in enumerate(docs):
+            if _fold(f, HELD_OUT) == fold:
+                scores[i] = trial.score(t)
+    return Model(*fitted(None), best_threshold(scores, np.array([u for _, u, _ in docs], bool)))
+
+
+def labelled(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple]:
+    """At most ``most`` labelled documents, chosen by a hash: doc_id, text, unsafe, family.
+
+    Unsafe ones, which are few, come first, up to half of ``most``. Several labels of one document: the majority of ok
+    and unsafe. The family is ``family_id`` where documents have one.
+    """
     votes = F.sum(F.when(F.col("label") == "unsafe", 1).when(F.col("label") == "ok", -1).otherwise(0))
     says = labels.groupBy("doc_id").agg(votes.alias("votes")).where("votes <> 0")
-    chosen = says.orderBy(F.xxhash64("doc_id")).limit(most)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()  # at most `most` rows
-    return [(r.doc_id, r.text, r.votes > 0) for r in rows]
+    family = F.col("family_id") if "family_id" in documents.columns else F.lit(None)
+    texts = documents.select("doc_id", "text", family.alias("family"))
+    rows: list[tuple] = []
+    for unsafe in (True, False):
+        room = most // 2 if unsafe else most - len(rows)
+        chosen = says.where("votes > 0" if unsafe else "votes < 0").orderBy(F.xxhash64("doc_id")).limit(room)
+        found = texts.join(F.broadcast(chosen), "doc_id").collect()  # at most `most` rows
+        rows += [(r.doc_id, r.text, unsafe, r.family) for r in found]
+    return rows
 
 
 def score(documents: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     """``keys``, ``score`` and ``unsafe`` of every document, in one pass without a shuffle.
 
-    The score is the largest margin among the document's windows, -1 for null, empty and very short texts. Whole texts
+    The score is the largest margin among the document's windows, -1 for null and blank texts. Whole texts
     are read, whatever their length; rows given twice are scored twice; other columns are dropped.
     """
     fields = [documents.schema[k] for k in keys]
