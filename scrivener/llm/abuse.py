@@ -336,14 +336,11 @@ def labelled(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> lis
     votes = F.sum(F.when(F.col("label") == "unsafe", 1).when(F.col("label") == "ok", -1).otherwise(0))
     says = labels.groupBy("doc_id").agg(votes.alias("votes")).where("votes <> 0")
     family = F.col("family_id") if "family_id" in documents.columns else F.lit(None)
-    texts = documents.select("doc_id", "text", family.alias("family"))
-    rows: list[tuple] = []
-    for unsafe in (True, False):
-        room = most // 2 if unsafe else most - len(rows)
-        chosen = says.where("votes > 0" if unsafe else "votes < 0").orderBy(F.xxhash64("doc_id")).limit(room)
-        found = texts.join(F.broadcast(chosen), "doc_id").collect()  # at most `most` rows
-        rows += [(r.doc_id, r.text, unsafe, r.family) for r in found]
-    return rows
+    order = F.xxhash64("doc_id")
+    unsafe = says.where("votes > 0").orderBy(order).limit(most // 2)
+    chosen = unsafe.unionByName(says.where("votes < 0").orderBy(order).limit(most - unsafe.count()))
+    rows = documents.select("doc_id", "text", family.alias("family")).join(F.broadcast(chosen), "doc_id").collect()  # at most `most` rows
+    return [(r.doc_id, r.text, r.votes > 0, r.family) for r in rows]
 
 
 def score(documents: DataFrame, model: Model, keys: list[str]) -> DataFrame:

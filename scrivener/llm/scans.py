@@ -9,13 +9,14 @@ whether a candidate explains the word; the word before it, by bigram counts, dec
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most frequent words of the lexicon at most that go to every task; rarer words are joined.
+#: Words of the lexicon at most that go to every task. Of a larger lexicon these are the most frequent, and what a text
+#: asks about others is joined; lines and words come out the same.
 FREQUENT = 50_000
 #: What recognisers confuse, as (read, meant).
 CONFUSIONS = (
@@ -26,6 +27,7 @@ CONFUSIONS = (
     ("a", "o"), ("o", "a"), ("v", "y"), ("y", "v"), ("é", "6"), ("j", "i"), ("fi", "ti"), ("ni", "m"), ("in", "m"), ("w", "vv"), ("q", "g"),
 )
 CHEAP, MOST_COST = 0.3, 0.7
+SALTS = 16
 #: Look-alike letters in one class, then strings of classes that look like one letter; only to find candidates.
 _CLASSES = {"o": "0óöòôõaáàâãä@4", "i": "1l!|jíìî", "s": "5$", "c": "eéèêë€(3ç", "n": "hbuüúùû68ñ", "g": "9q", "t": "f7", "z": "2", "v": "yý"}
 _FOLD_ONE = str.maketrans({c: k for k, v in _CLASSES.items() for c in v})
@@ -277,27 +279,53 @@ def deletes(word: str) -> list[str]:
 
 
 def weighted_distance(read: str, meant: str, most: float = 2.0) -> float:
-    """Edit distance in which confusions cost little; above ``most`` any larger number may be returned."""
+    """Edit distance in which confusions cost little; above ``most`` any larger number may be returned.
+
+    Words of the same beginning and end are compared between them; rows that nothing within ``most`` can reach end it.
+    """
     n, m = len(read), len(meant)
     if abs(n - m) > 3:
         return most + 1
-    rows = [[0.0] * (m + 1) for _ in range(n + 1)]
+    if read == meant:
+        return 0.0
+    # what is alike at both ends costs nothing; two characters stay, as a confusion may reach into them
+    a = 0
+    while a < min(n, m) and read[a] == meant[a]:
+        a += 1
+    a = max(a - 2, 0)
+    z = 0
+    while z < min(n, m) - a and read[n - 1 - z] == meant[m - 1 - z]:
+        z += 1
+    z = max(z - 2, 0)
+    read, meant = read[a : n - z], meant[a : m - z]
+    n, m = len(read), len(meant)
+    far = int(most) + 3  # beyond this distance from the diagonal each step costs too much
+    rows = [[1e9] * (m + 1) for _ in range(n + 1)]
+    rows[0][0] = 0.0
+    alive = 0
     for i in range(n + 1):
-        for j in range(m + 1):
+        row = rows[i]
+        low = 1e9
+        for j in range(max(0, i - far), min(m, i + far) + 1):
             if i == j == 0:
+                low = 0.0
                 continue
             best = 1e9
             if i:
                 best = rows[i - 1][j] + 1
             if j:
-                best = min(best, rows[i][j - 1] + 1)
+                best = min(best, row[j - 1] + 1)
             if i and j:
                 best = min(best, rows[i - 1][j - 1] + (read[i - 1] != meant[j - 1]))
-                for a, b in _BY_END.get((read[i - 1], meant[j - 1]), ()):
-                    x, y = len(a), len(b)
-                    if x <= i and y <= j and read[i - x : i] == a and meant[j - y : j] == b:
-                        best = min(best, rows[i - x][j - y] + CHEAP)
-            rows[i][j] = best
+                for x, y in _BY_END.get((read[i - 1], meant[j - 1]), ()):
+                    u, v = len(x), len(y)
+                    if u <= i and v <= j and read[i - u : i] == x and meant[j - v : j] == y:
+                        best = min(best, rows[i - u][j - v] + CHEAP)
+            row[j] = best
+            low = min(low, best)
+        alive = alive + 1 if low > most else 0
+        if alive >= 2:  # a confusion of two characters may skip one row
+            return most + 1
     return rows[n][m]
 
 
@@ -335,7 +363,10 @@ def candidates(suspects: DataFrame, words: DataFrame, least: int = 2) -> DataFra
 
     def judge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in it:
-            cost = [min(weighted_distance(w, m), weighted_distance(w.lstrip("("), m)) for w, m in zip(t.word, t.meant)]
+            cost = [
+                min(weighted_distance(w, m, 1.0), weighted_distance(w.lstrip("("), m, 1.0)) if w[:1] == "(" else weighted_distance(w, m, 1.0)
+                for w, m in zip(t.word, t.meant)
+            ]
             t = t.assign(cost=cost)
             short = t.meant.str.len() < 4
             yield t[(t.cost > 0) & (t.cost <= MOST_COST) & ~(short & (t.cost > CHEAP))][["word", "meant", "cost", "n"]]
@@ -366,35 +397,81 @@ _FOUND = (
 )
 
 
-def _frequent(words: DataFrame) -> tuple[frozenset, frozenset]:
-    """The most frequent words of the lexicon, at most ``FREQUENT``, and the first parts of compounds among them."""
-    top = [r.word for r in words.where("n >= 2").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    return frozenset(top), frozenset(w.split("-", 1)[0] for w in top if "-" in w)
+class _Asked:
+    """The frequent words and those that are known of one text's others; what else is looked for is written down."""
+
+    def __init__(self, frequent: frozenset, more: Iterable[str]) -> None:
+        self.frequent, self.more, self.asked = frequent, frozenset(more), set()
+
+    def __contains__(self, word: str) -> bool:
+        if word in self.frequent or word in self.more:
+            return True
+        self.asked.add(word)
+        return False
 
 
-def read_lines(scanned: DataFrame, known: frozenset, prefixes: frozenset) -> DataFrame:
-    """One row for each header, page, maybe and hyphen line and for each word that the frequent words lack."""
-    shared = scanned.sparkSession.sparkContext.broadcast((known, prefixes))
+def _frequent(words: DataFrame) -> tuple[frozenset, frozenset, bool]:
+    """At most ``FREQUENT`` words of the lexicon, the first parts of compounds among them, and whether these are all."""
+    top = [r.word for r in words.where("n >= 2").orderBy(F.desc("n"), "word").limit(FREQUENT + 1).collect()]
+    whole = len(top) <= FREQUENT
+    top = top[:FREQUENT]
+    return frozenset(top), frozenset(w.split("-", 1)[0] for w in top if "-" in w), whole
+
+
+def _read(texts: DataFrame, known: frozenset, prefixes: frozenset, whole: bool) -> DataFrame:
+    """The rows of ``read_lines``; if the words are not the whole lexicon, also ``ask`` and ``ask_prefix`` rows."""
+    shared = texts.sparkSession.sparkContext.broadcast((known, prefixes))
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequent, first = shared.value
         for t in it:
             rows = []
-            for src, row_id, upload, text in zip(t.src, t.row_id, t.upload_id, t.text):
+            for src, row_id, upload, text, more, firsts in zip(t.src, t.row_id, t.upload_id, t.text, t.more, t.firsts):
                 if not text:
                     continue
-                kinds, hyphens, unknown = analyse(text, frequent, first)
+                a, b = (frequent, first) if whole else (_Asked(frequent, more), _Asked(first, firsts))
+                kinds, hyphens, unknown = analyse(text, a, b)
                 lines = text.split("\n")
                 for i, k in enumerate(kinds):
                     if k in ("header", "page", "maybe"):
                         rows.append((src, row_id, upload, i + 1, k, header_key(lines[i]) if k == "maybe" else None, None, 0, 0, 0))
-                for a, b in hyphens:
-                    rows.append((src, row_id, upload, a + 1, "hyphen", None, None, 0, 0, b + 1))
+                for i, j in hyphens:
+                    rows.append((src, row_id, upload, i + 1, "hyphen", None, None, 0, 0, j + 1))
                 for i, p, left, word, before, second in unknown:
                     rows.append((src, row_id, upload, i + 1, "word", word, before, p, left, second + 1))
+                if not whole:
+                    rows += [(src, row_id, upload, 0, what, w, None, 0, 0, 0) for what, x in (("ask", a), ("ask_prefix", b)) for w in x.asked]
             yield pd.DataFrame(rows, columns=["src", "row_id", "upload_id", "line_no", "what", "word", "before", "place", "left", "line_2"])
 
-    return scanned.select("src", "row_id", "upload_id", "text").mapInPandas(read, _FOUND)
+    return texts.select("src", "row_id", "upload_id", "text", "more", "firsts").mapInPandas(read, _FOUND)
+
+
+def read_lines(scanned: DataFrame, words: DataFrame, cut) -> DataFrame:
+    """One row for each header, page, maybe and hyphen line and for each word that the lexicon may lack.
+
+    A lexicon that is too large for every task answers by a join: texts are read with its most frequent words, and those
+    whose other questions find a word are read again with it, until no text learns anything new.
+    """
+    known, prefixes, whole = _frequent(words)
+    none = F.array().cast("array<string>")
+    pending = scanned.select("src", "row_id", "upload_id", "text", none.alias("more"), none.alias("firsts"))
+    if whole:
+        return cut(_read(pending, known, prefixes, True))
+    trusted = words.where("n >= 2").select("word")
+    firsts = trusted.where("word like '%-%'").select(F.substring_index("word", "-", 1).alias("word")).distinct()
+    done = None
+    while True:
+        found = cut(_read(pending, known, prefixes, False))
+        hits = found.where("what = 'ask'").join(trusted, "word", "left_semi").unionByName(found.where("what = 'ask_prefix'").join(firsts, "word", "left_semi"))
+        learnt = cut(hits.groupBy("src", "row_id").agg(
+            F.collect_set(F.when(F.col("what") == "ask", F.col("word"))).alias("a"), F.collect_set(F.when(F.col("what") == "ask_prefix", F.col("word"))).alias("b")
+        ))
+        final = found.where("what not in ('ask', 'ask_prefix')").join(learnt.select("src", "row_id"), ["src", "row_id"], "left_anti")
+        done = final if done is None else done.unionByName(final.select(done.columns))
+        if not learnt.limit(1).count():
+            return done
+        both = pending.join(learnt, ["src", "row_id"])
+        pending = cut(both.select("src", "row_id", "upload_id", "text", F.concat("more", "a").alias("more"), F.concat("firsts", "b").alias("firsts")))
 
 
 def _second_line() -> Column:
@@ -413,11 +490,13 @@ def noise(scanned: DataFrame, clean: DataFrame, cut) -> tuple[DataFrame, DataFra
     give no rows; without clean units no word is repaired.
     """
     words = cut(lexicon(clean))
-    known, prefixes = _frequent(words)
-    found = cut(read_lines(scanned, known, prefixes))
+    found = read_lines(scanned, words, cut)
     suspects = found.where("what = 'word'").select("word").distinct()
     fixes = cut(candidates(suspects, words))
-    repairs = found.where("what = 'word'").join(fixes, "word")
+    # a common misreading is spread by its texts
+    salted = fixes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    read_words = found.where("what = 'word'").withColumn("salt", F.pmod(F.xxhash64("src", "row_id"), F.lit(SALTS)).cast("int"))
+    repairs = read_words.join(salted, ["word", "salt"]).drop("salt")
     running = found.where("what = 'maybe'")
     through = running.groupBy("upload_id", "word").agg(F.count_distinct("src", "row_id").alias("pages")).where("pages >= 3")
     headers = running.join(through.select("upload_id", "word"), ["upload_id", "word"], "left_semi").withColumn("what", F.lit("header"))
@@ -435,8 +514,9 @@ def best_repairs(repairs: DataFrame, clean: DataFrame) -> DataFrame:
     words = F.expr(f"regexp_extract_all(replace(lower(text), '’', ''''), r\"{_LEXICON_WORD}\", 1)")
     both = clean.where("text is not null").select(words.alias("w")).where("size(w) > 1")
     both = both.select(F.explode(F.expr("transform(sequence(0, size(w) - 2), i -> struct(w[i] as before, w[i + 1] as meant))")).alias("x"))
-    counts = both.select("x.*").groupBy("before", "meant").agg(F.count("*").alias("together"))
-    counted = several.join(counts.join(pairs, ["before", "meant"], "left_semi"), ["before", "meant"], "left")
+    wanted = both.select("x.*").join(pairs, ["before", "meant"], "left_semi")  # before they are counted
+    counts = wanted.groupBy("before", "meant").agg(F.count("*").alias("together"))
+    counted = several.join(counts, ["before", "meant"], "left")
     order = Window.partitionBy("src", "row_id", "line_no", "place").orderBy("cost", F.desc_nulls_last("together"), F.desc("n"), "meant")
     return counted.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r", "together")
 
@@ -457,17 +537,17 @@ def _cased(token: str, word: str, meant: str) -> str:
 def rebuild(text: str, drop: set[int], joined: set[int], fixes: dict[tuple[int, int], tuple[str, str]]) -> str:
     """The text in continuous paragraphs: without dropped lines, broken words joined, misread words replaced."""
     lines = [s.rstrip("\r") for s in text.split("\n")]
-    out: list[str] = []
+    out: list[list[str]] = []
     words: list[str] = []
+    marks: list[tuple[list[str], int, tuple[str, str]]] = []
     glue = False
-    mended: list[tuple[int, tuple[str, str]]] = []
     for i, s in enumerate(lines, 1):
         if i in drop:
             continue
         tokens = _SPLIT.findall(s)
         if not tokens:
             if words and not glue:
-                out.append(" ".join(words))
+                out.append(words)
                 words = []
             continue
         for p, token in enumerate(tokens):
@@ -477,7 +557,7 @@ def rebuild(text: str, drop: set[int], joined: set[int], fixes: dict[tuple[int,
             else:
                 words.append(token)
                 if (i, p) in fixes:
-                    mended.append((len(words) - 1 + sum(len(x.split(" ")) for x in out), fixes[(i, p)]))
+                    marks.append((words, len(words) - 1, fixes[(i, p)]))
         if tokens[-1][-1:] in _BREAKS:
             if i in joined:
                 words[-1] = words[-1][:-1]
@@ -486,15 +566,10 @@ def rebuild(text: str, drop: set[int], joined: set[int], fixes: dict[tuple[int,
                 words[-1] = words[-1][:-1] + "-"
                 glue = True
     if words:
-        out.append(" ".join(words))
-    flat = [p.split(" ") for p in out]
-    for at, (word, meant) in mended:
-        for para in flat:
-            if at < len(para):
-                para[at] = _cased(para[at], word, meant)
-                break
-            at -= len(para)
-    return "\n\n".join(" ".join(p) for p in flat)
+        out.append(words)
+    for para, at, (word, meant) in marks:
+        para[at] = _cased(para[at], word, meant)
+    return "\n\n".join(" ".join(p) for p in out)
 
 
 def repaired(scanned: DataFrame, lines: DataFrame, best: DataFrame) -> DataFrame:
