@@ -1,4 +1,8 @@
-"""Splitting of oversized texts: a tree of sections, paragraphs, lines and sentences, packed bottom-up to the limit."""
+"""Splitting of oversized texts: a tree of sections, paragraphs, list items, lines and sentences, packed bottom-up to the limit.
+
+Sections nest by the depth of their headings (marks, numbers or tags), list items by their indentation; markup elements
+that stand for themselves are paragraphs or items. A heading is one node with what follows it.
+"""
 
 from __future__ import annotations
 
@@ -12,17 +16,47 @@ from pyspark.sql import types as T
 
 _WHITE = " \t\r\n"
 _STRETCH = re.compile(r"[ \t\r\n]+|(?<=[。！？])")
-_HEADING = re.compile(r"(?:#{1,6} |<h[1-6]|(?:\d+\.)+\d* +\S|[IVXLC]+\. +\S)|[^a-z]{3,}(?=[\r\n]|\Z)")
+_HEADING = re.compile(r"(#{1,6}) |<h([1-6])|((?:\d+\.)+\d*) +\S|([IVXLC]+\.) +\S|[^a-z]{3,}(?=[\r\n]|\Z)")
+_ITEM = re.compile(r"(?:[-*+•–] |\(?(?:\d{1,3}|[a-z]|[ivx]{1,5})[.)] |<(?:li|dt|dd|tr)\b)", re.IGNORECASE)
+_ELEMENT = re.compile(r"</?(?:p|div|section|article|table|ul|ol|dl|blockquote|pre|body|head)\b", re.IGNORECASE)
 _MAX_HEADING = 90
-#: Levels of the tree by the kind of cut, from the coarsest; the last two cut within a sentence.
-SECTION, PARAGRAPH, LINE, SENTENCE, BREAK, WORD, CHARACTER = range(7)
+#: Levels of the tree by the kind of cut, from the coarsest: sections of six depths, items of three; the last three cut within a sentence.
+SECTION, PARAGRAPH, ITEM, LINE, SENTENCE, BREAK, WORD, CHARACTER = 0, 6, 7, 10, 11, 12, 13, 14
 
 Node = tuple[int, int, int]
 
 
-def _is_heading(text: str, at: int) -> bool:
+def heading_depth(text: str, at: int) -> int | None:
+    """Depth from 0 of the heading that begins at ``at``; None if there is none."""
     m = _HEADING.match(text, at, at + _MAX_HEADING)
-    return m is not None and any(c.isalpha() for c in text[at : at + _MAX_HEADING].split("\n", 1)[0])
+    if m is None:
+        return None
+    line = text[at : at + _MAX_HEADING].split("\n", 1)[0].rstrip()
+    if not any(c.isalpha() for c in line) or line[-1] in ".!?…。！？;,":
+        return None
+    marks, tag, number, roman = m.groups()
+    depth = len(marks) if marks else int(tag) if tag else number.strip(".").count(".") + 1 if number else 1
+    return min(depth, 6) - 1
+
+
+def _is_heading(text: str, a: int, b: int) -> bool:
+    """Whether a leaf is a heading and nothing else."""
+    return b - a <= _MAX_HEADING and "\n" not in text[a:b] and heading_depth(text, a) is not None
+
+
+def _cut_level(text: str, at: int, white: str) -> int:
+    """Level of the cut after the white space ``white``, before what begins at ``at``."""
+    lines = white.count("\n")
+    if lines == 0:
+        return SENTENCE
+    if lines >= 2:
+        depth = heading_depth(text, at)
+        if depth is not None:
+            return SECTION + depth
+    if _ITEM.match(text, at):
+        indent = len(white.rsplit("\n", 1)[1].replace("\t", "    "))
+        return ITEM + min(indent // 2, 2)
+    return PARAGRAPH if lines >= 2 or _ELEMENT.match(text, at) else LINE
 
 
 def leaves(text: str) -> list[Node]:
@@ -46,13 +80,9 @@ def leaves(text: str) -> list[Node]:
         if a == b:
             cut = SENTENCE
         else:
-            lines = text.count("\n", a, b)
-            if lines >= 2:
-                cut = SECTION if b < size and _is_heading(text, b) else PARAGRAPH
-            elif a and text[a - 1] in ".!?…。！？":
-                cut = LINE if lines else SENTENCE
-            else:
+            if text.count("\n", a, b) < 2 and not (a and text[a - 1] in ".!?…。！？"):
                 continue
+            cut = _cut_level(text, b, m[0])
         had = len(out)
         add(a)
         begin = b
@@ -82,6 +112,17 @@ def _inside(text: str, a: int, b: int, room: int, level: int) -> list[Node]:
     return out
 
 
+def _with_headings(text: str, nodes: list[Node], room: int) -> list[Node]:
+    """Headings joined to the node after them, where both are within ``room``, so that no piece ends in a heading."""
+    out: list[Node] = []
+    for a, b, level in reversed(nodes):
+        if out and _is_heading(text, a, b) and out[-1][1] - a <= room:
+            out[-1] = (a, out[-1][1], level)
+        else:
+            out.append((a, b, level))
+    return out[::-1]
+
+
 def _pack(nodes: list[Node], level: int, room: int) -> list[Node]:
     """Merge neighbouring subtrees up to ``room``; only subtrees above it are opened."""
     if nodes[-1][1] - nodes[0][0] <= room or len(nodes) == 1:
@@ -90,16 +131,21 @@ def _pack(nodes: list[Node], level: int, room: int) -> list[Node]:
         level += 1
     out: list[Node] = []
     first = 0
+    opened = False
     for i in range(1, len(nodes) + 1):
         if i == len(nodes) or nodes[i][2] <= level:
             child = nodes[first:i]
             first = i
             whole = child[-1][1] - child[0][0] <= room or len(child) == 1
-            for part in [(child[0][0], child[-1][1], child[0][2])] if whole else _pack(child, level + 1, room):
-                if out and part[1] - out[-1][0] <= room:
+            parts = [(child[0][0], child[-1][1], child[0][2])] if whole else _pack(child, level + 1, room)
+            for k, part in enumerate(parts):
+                # siblings merge; the parts of a section that was opened stay apart from the sections beside it
+                apart = level < PARAGRAPH and k == 0 and (opened or not whole)
+                if out and not apart and part[1] - out[-1][0] <= room:
                     out[-1] = (out[-1][0], part[1], out[-1][2])
                 else:
                     out.append(part)
+            opened = not whole
     return out
 
 
@@ -119,7 +165,7 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int, bool]]:
         return [(0, 0, False)]
     out: list[tuple[int, int, bool]] = []
     k = 0
-    for a, b, _ in _pack(nodes, SECTION, room):
+    for a, b, _ in _pack(_with_headings(text, nodes, room), SECTION, room):
         while k < len(forced) and forced[k][1] <= a:
             k += 1
         cut = k < len(forced) and forced[k][0] < b
