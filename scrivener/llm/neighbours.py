@@ -33,6 +33,8 @@ FEWEST_LISTS = 4
 FITTED_AT_ONCE = 512
 #: Rows at most of one list block and one block of questions in a task.
 BLOCK, QUESTIONS = 8_192, 16_384
+#: Questions at most of a task that scans a group of lists; each names a few of them.
+GROUP_QUESTIONS = 131_072
 STEP = 16
 #: Neighbours of this similarity are found by the lists; a vector with too few of them is compared with all others.
 SURE = 0.8
@@ -207,7 +209,7 @@ def _groups(rows: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray
         group_of[i] = group
         size += n
     x = np.maximum(1, -(-np.bincount(group_of, rows) // BLOCK)).astype(np.int64)
-    return group_of, x, np.maximum(1, -(-np.bincount(group_of, asked) // QUESTIONS)).astype(np.int64)
+    return group_of, x, np.maximum(1, -(-np.bincount(group_of, asked) // GROUP_QUESTIONS)).astype(np.int64)
 
 
 _SCHEMA_SENT = "node int, x int, q int, asks boolean, rep long, lists array<int>, vec binary"

@@ -20,8 +20,11 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of which one is among the five most similar of the other, of similarity 0.8 or more."""
-    rows = p6_neighbours(spark, sf_dir).where("similarity >= 0.8")
+    """Pairs of which one is among the five most similar of the other, of similarity 0.8 or more.
+
+    The floor bounds the scan, as a neighbour below it is no case; ``p6_neighbours`` has none.
+    """
+    rows = nearest(_vectors(spark, sf_dir), "vec_id", "embedding", k=5, least=0.8)
     return rows.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
 
 

@@ -34,7 +34,7 @@ def test_many_lists_and_blocks(spark, monkeypatch):
     """Lists fitted in two steps, lists of several blocks, questions of several blocks."""
     from scrivener.llm import neighbours
 
-    for name, value in (("BLOCK", 40), ("QUESTIONS", 70), ("FITTED_AT_ONCE", 8), ("SAMPLE_OF_LIST", 8)):
+    for name, value in (("BLOCK", 40), ("QUESTIONS", 70), ("GROUP_QUESTIONS", 200), ("FITTED_AT_ONCE", 8), ("SAMPLE_OF_LIST", 8)):
         monkeypatch.setattr(neighbours, name, value)
     rng = np.random.default_rng(5)
     vectors = {i: np.float32(rng.standard_normal(DIMS)) for i in range(-300, 300)}
