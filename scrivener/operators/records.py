@@ -56,21 +56,20 @@ def _quoted_badly(delimiter: Column) -> Column:
 #: Roles of a file without a header, which is read as comma-separated.
 _NO_HEADER = ("key_message_id", "brand", "key_message")
 
-#: Joins the pieces of a well quoted record to its fields: inner pieces and escaped quotes extend the last field.
+#: Joins the pieces of a well quoted record to its fields. Delimiters outside quotes become a mark that the record does not
+#: hold, empty pieces between two quoted ones a quotation mark; then the record is cut once.
 _FIELDS = r"""
     case when size(pieces) = 1 then split(body, concat('\\Q', delimiter, '\\E'), -1)
-    else aggregate(transform(pieces, (s, i) -> struct(i as i, s as s)), array(''), (a, x) -> case
-        when x.i % 2 = 1 then concat(slice(a, 1, size(a) - 1), array(concat(element_at(a, -1), x.s)))
-        when x.s = '' and x.i > 0 and x.i < size(pieces) - 1
-            then concat(slice(a, 1, size(a) - 1), array(concat(element_at(a, -1), '"')))
-        else concat(slice(a, 1, size(a) - 1),
-            array(concat(element_at(a, -1), split(x.s, concat('\\Q', delimiter, '\\E'), -1)[0])),
-            slice(split(x.s, concat('\\Q', delimiter, '\\E'), -1), 2, 1000000000))
-        end)
-    end
+    else split(array_join(transform(pieces, (s, i) -> case when i % 2 = 1 then s when s = '' and i > 0 and i < size(pieces) - 1 then '"'
+        else replace(s, delimiter, mark) end), ''), mark, -1) end
 """
 
 
+def _mark(body: Column) -> Column:
+    """A text made from a hash of the record, which the record itself cannot hold."""
+    return F.concat(F.lit("\ue000"), F.hex(F.xxhash64(body)), F.lit("\ue000"))
+
+
 def _body(raw: Column) -> Column:
     """The record without the carriage return of its line end."""
     return F.when(raw.endswith("\r"), F.expr("left(raw, length(raw) - 1)")).otherwise(raw)
@@ -98,14 +97,14 @@ def headers(raw: DataFrame) -> DataFrame:
     outside = F.array_join(F.filter("pieces", lambda s, i: i % 2 == 0), "")
     found = F.regexp_extract(outside, f"[{DELIMITERS}]", 0)
     cut = cut.withColumn("delimiter", F.when(found == "", ",").otherwise(found))
-    names = cut.withColumn("fields", F.expr(_FIELDS))
+    names = cut.withColumn("mark", _mark(F.col("body"))).withColumn("fields", F.expr(_FIELDS))
     return names.select("source_file", "delimiter", F.size("fields").alias("width"), F.transform("fields", _role).alias("roles"))
 
 
 
 
 def parse(raw: DataFrame, salts: int = 16) -> DataFrame:
-    """``record_id``, ``source_file``, ``line_no``, ``fields``, ``roles`` and ``fault`` (quoting, column_count, null).
+    """``record_id``, ``source_file``, ``line_no``, ``fields`` (null where quotes are broken), ``width`` and ``roles``.
 
     Header records are left out. The header joins on the file and a hash of the record, so that one file with a large
     part of all records spreads over ``salts`` tasks; a file's header is repeated ``salts`` times, not its records.
@@ -120,9 +119,8 @@ def parse(raw: DataFrame, salts: int = 16) -> DataFrame:
         F.coalesce("roles", F.array(*[F.lit(x) for x in _NO_HEADER])).alias("roles"),
     ).withColumn("pieces", _pieces(F.col("body")))
     bad = _quoted_badly(F.col("delimiter"))
-    rows = rows.withColumn("fields", F.when(~bad, F.expr(_FIELDS)))
-    fault = F.when(F.col("fields").isNull(), "quoting").when(F.size("fields") != F.col("width"), "column_count")
-    return rows.select("record_id", "source_file", "line_no", "fields", "roles", fault.alias("fault"))
+    rows = rows.withColumn("mark", _mark(F.col("body"))).withColumn("fields", F.when(~bad, F.expr(_FIELDS)))
+    return rows.select("record_id", "source_file", "line_no", "fields", "width", "roles")
 
 
 def _broken() -> Column:
@@ -141,14 +139,19 @@ def rejected(raw: DataFrame, rules: tuple[Rule, ...] = KEY_MESSAGE_RULES) -> Dat
     they fail by column_count (unless the file has one column). A column without rule may be empty. An empty table
     gives no rows; other columns are ignored.
     """
-    parsed = parse(raw)
-    broken = parsed.where("fault is not null").select("record_id", F.when(F.col("fault") == "quoting", 0).otherwise(1).alias("at"))
-    table = raw.sparkSession.createDataFrame([(r.role, r.kind, r.argument) for r in rules], "role string, kind string, argument string")
-    cells = parsed.where("fault is null").select("record_id", "roles", F.posexplode("fields").alias("place", "value"))
-    cells = cells.select("record_id", F.col("roles")[F.col("place")].alias("role"), "value")
-    wrong = cells.join(F.broadcast(table), "role").where(_broken()).select("record_id", F.lit(2).alias("at"))
-    errors = broken.unionByName(wrong).groupBy("record_id").agg(F.min("at").alias("at"))
-    return errors.select("record_id", F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.col("at") + 1).alias("reason"))
+    return _reasons(parse(raw), rules)
+
+
+def _reasons(parsed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Cells exploded to (record, column, value), joined with the rules, and the errors of each record aggregated."""
+    table = parsed.sparkSession.createDataFrame([(r.role, r.kind, r.argument) for r in rules], "role string, kind string, argument string")
+    cells = parsed.select("record_id", "width", "roles", F.posexplode_outer("fields").alias("place", "value"))
+    cells = cells.select("record_id", "width", "place", F.get("roles", F.col("place")).alias("role"), "value")
+    judged = cells.join(F.broadcast(table), "role", "left").withColumn("wrong", F.coalesce(_broken() & F.col("kind").isNotNull(), F.lit(False)))
+    errors = judged.groupBy("record_id").agg(F.max("place").alias("last"), F.max("width").alias("width"), F.max("wrong").alias("wrong"))
+    at = F.when(F.col("last").isNull(), 0).when(F.col("last") + 1 != F.col("width"), 1).when(F.col("wrong"), 2)
+    found = errors.select("record_id", at.alias("at")).where("at is not null")
+    return found.select("record_id", F.element_at(F.array(*[F.lit(r) for r in REASONS]), F.col("at") + 1).alias("reason"))
 
 
 def loaded(raw: DataFrame, rules: tuple[Rule, ...] = KEY_MESSAGE_RULES) -> DataFrame:
@@ -156,7 +159,8 @@ def loaded(raw: DataFrame, rules: tuple[Rule, ...] = KEY_MESSAGE_RULES) -> DataF
 
     The ID is trimmed and in upper case; brand and key words are null where empty or absent.
     """
-    parsed = parse(raw).where("fault is null").join(rejected(raw, rules), "record_id", "left_anti").dropDuplicates(["record_id"])
+    records = parse(raw)
+    parsed = records.where("fields is not null").join(_reasons(records, rules), "record_id", "left_anti").dropDuplicates(["record_id"])
 
     def value(role: str) -> Column:
         cell = F.trim(F.expr(f"get(fields, array_position(roles, '{role}') - 1)"))
