@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrivener.functions.text import clean_text, metric_text
 
@@ -36,7 +37,7 @@ def word_distance(a: Sequence[str], b: Sequence[str]) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else word_distance(x, y) for x, y in zip(a, b)], dtype="Int64")
 
@@ -99,7 +100,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(fits & (norm > 0), F.lit(False)), dot(a, b) / norm).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 

@@ -47,3 +47,30 @@ def soft_delete(df: DataFrame, which: Column) -> DataFrame:
 def page_of(df: DataFrame, order: Sequence[Column], start: int, count: int) -> DataFrame:
     """Rows ``start`` to ``start + count`` of an order, as a page of a preview; sorted once, without a window."""
     return df.orderBy(*order).offset(start).limit(count)
+
+
+def content_key(*parts: Column) -> Column:
+    """One key for what a result depends on: content hashes, parameters and versions; null counts as a part of its own."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)
+
+
+def unprocessed(new: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows of ``new`` whose key no earlier run has in ``done``; each key once."""
+    return missing(new, done, key)
+
+
+def changed_files(files: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Files ``path, modified, size`` that were not loaded in this state."""
+    return files.join(loaded.select("path", "modified", "size"), ["path", "modified", "size"], "left_anti")
+
+
+def patch(df: DataFrame, changes: DataFrame, key: str, allowed: Sequence[str]) -> DataFrame:
+    """Rows with the values of ``changes`` (one row for each key) that are not null, in the allowed columns only."""
+    named = changes.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in allowed if c in changes.columns])
+    full = df.join(named, key, "left")
+    return full.select(*[F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in full.columns else F.col(c) for c in df.columns])
+
+
+def page_size(wanted: int, most: int) -> int:
+    """A number of rows between 1 and ``most``."""
+    return max(1, min(wanted, most))

@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrivener.functions import text
+from scrivener.operators.checklists import REVIEWERS, SECTIONS as NUMBERED, checklist_rows
 from scrivener.operators.matching import alias_positions, correct_words, cosine_best, fuzzy_brands, tfidf_best
 from scrivener.operators.ranges import last_known
-from scrivener.operators.tables import missing, newest, page_of, upsert
+from scrivener.operators.records import loaded
+from scrivener.operators.tables import changed_files, content_key, missing, newest, page_of, page_size, unprocessed, upsert
 from scrivener.plans import sql
+from scrivener.plans.records import SQL as RECORDS
 from scrivener.session import once, table
+from scrivener.sources.sinks import message_table
 
 SECTIONS = ("medical review", "legal review", "regulatory review")
 
@@ -222,14 +226,42 @@ def stored_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def checklist_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checklists as documents have them: a heading before each criterion of a numbered section, and its row."""
+    items = table(spark, sf_dir, "checklist_items").where("checklist_version is not null")
+    name = text.clean_text(F.col("section_name"))
+    head = items.select(F.col("checklist_version").alias("doc"), (F.col("vec_id") * 2).alias("line_no"), F.concat(F.lit("# "), name).alias("line"))
+    row = F.concat_ws(" | ", "item_code", "checklist_description", "reviewer_type", "mandatory_status")
+    return head.unionByName(items.select(F.col("checklist_version").alias("doc"), (F.col("vec_id") * 2 + 1).alias("line_no"), row.alias("line")))
+
+
 def parsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Criteria written as text rows with bars and read again."""
-    items = table(spark, sf_dir, "checklist_items").select("vec_id", F.concat_ws(" | ", "item_code", "checklist_description", "reviewer_type", "mandatory_status").alias("row"))
-    parts = F.filter(F.transform(F.split("row", r"\|"), lambda p: F.trim(p)), lambda p: p != "")
-    rows = items.select("vec_id", parts.alias("p")).where("size(p) >= 3")
-    n = F.size("p")
-    middle = F.when(n >= 4, F.array_join(F.expr("slice(p, 2, size(p) - 3)"), " | ")).otherwise(F.col("p")[1])
-    return rows.select("vec_id", F.col("p")[0].alias("code"), middle.alias("description"), F.when(n >= 4, F.expr("p[size(p) - 2]")).alias("reviewer"), F.element_at("p", -1).alias("mandatory"))
+    """Criteria of checklist documents, with their sections."""
+    return checklist_rows(checklist_lines(spark, sf_dir)).select("doc", "line_no", "section", "item_code", "description", "reviewer", "mandatory")
+
+
+def new_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses of 2025 whose content and parameters no earlier analysis had: a key of upload, kind, language and translation."""
+    rows = _analyses(spark, sf_dir, "upload_id", "file_type", "target_language", "translated", "created_at")
+    key = content_key(*[F.col(c) for c in ("upload_id", "file_type", "target_language", "translated")])
+    keyed = rows.select("analysis_id", "created_at", key.alias("key"))
+    later = F.col("created_at") >= F.lit("2025-01-01").cast("timestamp")
+    return unprocessed(keyed.where(later).select("key"), keyed.where(~later).select("key"), "key")
+
+
+def changed_message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key-message files whose state of 2025 was not loaded before: name, last change and number of records."""
+    rows = once(table(spark, sf_dir, "key_message_records").select("record_id", "source_file", "received_at"), "record_id")
+
+    def state(df: DataFrame) -> DataFrame:
+        return df.groupBy(F.col("source_file").alias("path")).agg(F.unix_micros(F.max("received_at")).alias("modified"), F.count("*").alias("size"))
+
+    return changed_files(state(rows), state(rows.where(F.col("received_at") < F.lit("2025-01-01").cast("timestamp"))))
+
+
+def message_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid key messages as they replace a stored table."""
+    return message_table(loaded(table(spark, sf_dir, "key_message_records")), "record_id").select("record_key", "brand", "key_message", "key_words")
 
 
 def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +273,7 @@ def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def newest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 newest results, as a page shows them."""
     rows = _matches(spark, sf_dir, "upload_id", "item_code", "created_date").where("created_date is not null")
-    return page_of(rows, [F.desc("created_date"), F.asc("match_id")], 0, 200).select("match_id", "upload_id", "item_code")
+    return page_of(rows, [F.desc("created_date"), F.asc("match_id")], 0, page_size(500, 200)).select("match_id", "upload_id", "item_code")
 
 
 def message_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +333,7 @@ QUERIES = {
     "j9_unreviewed_uploads": unreviewed_uploads, "fp1_checklist": checklist, "fp4_evidence": evidence, "cq4_review_status": review_status,
     "sk5_stored_checklist": stored_checklist, "st13_parsed_rows": parsed_rows, "sc2_file_types": file_types, "tk4_newest_reviews": newest_reviews,
     "tk2_message_ranks": message_ranks, "sm2_mapped_summary": mapped_summary, "w4_section_carried": section_carried, "js1_reply_status": reply_status,
-    "st22_source_locations": source_locations,
+    "st22_source_locations": source_locations, "cq10_new_work": new_work, "cq9_changed_message_files": changed_message_files, "sk1_message_tables": message_tables,
 }
 
 ALIASES = rf"""
@@ -377,10 +409,29 @@ SQL = {
         select coalesce(n.item_code, o.item_code) as item_code, case when n.item_code is not null then n.section_name else o.section_name end as section_name,
             coalesce(n.checklist_version, o.checklist_version) as checklist_version, cast(epoch(coalesce(o.created_date, n.created_date)) as bigint) as created, coalesce(n.vec_id, o.vec_id) as vec_id
         from o full join n on o.item_code = n.item_code""",
-    "st13_parsed_rows": r"""
-        with p as (select vec_id, list_filter(list_transform(string_split(concat_ws(' | ', item_code, checklist_description, reviewer_type, mandatory_status), '|'), lambda x: trim(x)), lambda x: x <> '') as p from checklist_items)
-        select vec_id, p[1] as code, case when len(p) >= 4 then array_to_string(p[2:len(p) - 2], ' | ') else p[2] end as description,
-            case when len(p) >= 4 then p[len(p) - 1] end as reviewer, p[len(p)] as mandatory from p where len(p) >= 3""",
+    "st13_parsed_rows": rf"""
+        with l as (select checklist_version as doc, vec_id * 2 as line_no, '# ' || {sql.clean('section_name')} as line from checklist_items where checklist_version is not null
+            union all select checklist_version, vec_id * 2 + 1, concat_ws(' | ', item_code, checklist_description, reviewer_type, mandatory_status) from checklist_items where checklist_version is not null),
+        o as (select *, case {" ".join(f"when contains(lower(line), '{v.lower()}') then '{v}'" for v in NUMBERED.values())} end as opens from (select doc, line_no, {sql.clean('line')} as line from l)),
+        c as (select *, last_value(opens ignore nulls) over (partition by doc order by line_no rows between unbounded preceding and current row) as section from o),
+        p as (select doc, line_no, section, list_filter(list_transform(string_split(line, '|'), lambda x: {sql.clean('x')}), lambda x: x <> '') as p from c where opens is null and section is not null and contains(line, '|')),
+        r as (select doc, line_no, section, p[1] as item_code, case when len(p) >= 4 then array_to_string(p[2:len(p) - 2], ' | ') else p[2] end as description,
+            case when len(p) >= 4 then p[len(p) - 1] else case {" ".join(f"when contains(lower(section), '{k}') then '{v}'" for k, v in REVIEWERS.items())} else '' end end as reviewer, p[len(p)] as mandatory
+            from p where len(p) >= 3 and not (contains(lower(array_to_string(p, ' ')), 'check item') and regexp_matches(lower(array_to_string(p, ' ')), 'mandatory|owner|reviewer')))
+        select * from r where regexp_matches(description, '[A-Za-z]')""",
+    "cq10_new_work": f"""
+        with k as (select created_at, sha256(upload_id || chr(31) || coalesce(file_type, chr(0)) || chr(31) || coalesce(target_language, chr(0)) || chr(31) || coalesce(cast(translated as varchar), chr(0))) as key
+            from {sql.ANALYSES} where upload_id is not null)
+        select distinct key from k where created_at >= timestamptz '2025-01-01' and key not in (select key from k where created_at < timestamptz '2025-01-01')""",
+    "cq9_changed_message_files": """
+        with r as (select distinct on (record_id) record_id, source_file as path, received_at from key_message_records),
+        a as (select path, epoch_us(max(received_at)) as modified, count(*) as size from r group by 1),
+        b as (select path, epoch_us(max(received_at)) as modified, count(*) as size from r where received_at < timestamptz '2025-01-01' group by 1)
+        select * from a except select * from b""",
+    "sk1_message_tables": rf"""
+        with m as (select * from ({RECORDS['p2_loaded']})), w as (select *, list_filter(list_transform({sql.words('key_message')}, lambda w: regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda w: length(w) > 4) as w from m)
+        select key_message_id || '::' || record_id as record_key, brand, key_message, coalesce(nullif(trim(key_words), ''),
+            array_to_string(list_transform(list_filter(list_zip(range(1, len(w) + 1), w), lambda z: list_position(w, z[2]) = z[1]), lambda z: z[2])[1:6], ', ')) as key_words from w""",
     "sc2_file_types": rf"select lower(regexp_extract(coalesce(file_name, ''), '(\.[^./\\]+)$', 1)) as extension, count(*) as analyses from {sql.ANALYSES} group by 1",
     "tk4_newest_reviews": f"select match_id, upload_id, item_code from {sql.MATCHES} where created_date is not null order by created_date desc, match_id limit 200",
     "tk2_message_ranks": f"select upload_id, match_id, confidence_score from {_VALID} qualify confidence_score >= greatest(0.05, max(confidence_score) over (partition by upload_id) - 0.05)",

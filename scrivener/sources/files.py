@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -22,11 +23,26 @@ from scrivener.functions.text import extension
 #: Kinds of files by extension; a table of settings that is joined to file names.
 KINDS = {
     "table": ".csv .tsv", "markup": ".html .htm .xml .svg .md .txt .json .yaml .yml .log .ini .rst .tex .sql .py .js .css .sh",
-    "document": ".docx .docm .dotx .rtf", "email": ".eml", "package": ".zip", "spreadsheet": ".xlsx .xls", "fallback": ".ps .eps .ai .bin .dat .doc .odt",
+    "document": ".docx .docm .dotx .rtf", "email": ".eml", "package": ".zip", "spreadsheet": ".xlsx .xls", "fallback": ".ps .eps .ai .psd .indd .raw .bin .dat .doc .odt",
 }
 TEXT_EXTENSIONS = frozenset((KINDS["markup"] + " " + KINDS["table"]).split())
-#: Limits that are part of the meaning of a preview: rows of a table, members of a package and their size.
-TABLE_ROWS, SHEET_ROWS, MEMBERS_READ, MEMBER_BYTES = 251, 200, 30, 1 << 20
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Rows of a table and of a sheet, members of a package that are listed and read, their bytes, strings of a binary file; null for all."""
+
+    table_rows: int | None = None
+    sheet_rows: int | None = None
+    names: int | None = None
+    members: int | None = None
+    member_bytes: int | None = None
+    strings: int | None = None
+
+
+#: Fixed values of a preview; whole files have no limits.
+PREVIEW = Limits(251, 200, 200, 30, 1 << 20, 250)
+WHOLE = Limits()
 #: Values of cells that count as empty.
 NO_VALUE = frozenset("#N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN|<NA>|N/A|NA|NULL|NaN|None|n/a|nan|null".split("|"))
 UNIT_SCHEMA = "path string, source_no int, source_type string, text string, warning string"
@@ -71,7 +87,7 @@ def xml_text(value: str) -> str:
     return re.sub(r"<[^>]+>", " ", value)
 
 
-def table_text(value: str) -> str:
+def table_text(value: str, most: int | None = None) -> str:
     """Cells of a row joined by bars; the delimiter is guessed from the beginning."""
     try:
         dialect = csv.Sniffer().sniff(value[:4096], delimiters=",;\t|")
@@ -80,7 +96,7 @@ def table_text(value: str) -> str:
     rows = []
     for row in csv.reader(io.StringIO(value), dialect):
         rows.append(" | ".join(c.strip() for c in row))
-        if len(rows) >= TABLE_ROWS:
+        if len(rows) == most:
             break
     return "\n".join(rows)
 
@@ -143,8 +159,8 @@ def _cell(c: ElementTree.Element, shared: list[str], dates: set[int], start: dat
     return "" if value in NO_VALUE else value
 
 
-def sheet_texts(data: bytes) -> list[str]:
-    """Each sheet of a workbook as CSV: its header and the first ``SHEET_ROWS`` rows after it."""
+def sheet_texts(data: bytes, most: int | None = None) -> list[str]:
+    """Each sheet of a workbook as CSV: its header and the rows after it, at most ``most``."""
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
@@ -174,7 +190,7 @@ def sheet_texts(data: bytes) -> list[str]:
                 continue
             first, last = min(filled), max(filled)
             width = max(c for cells in rows.values() for c in cells)
-            lines = [[rows.get(r, {}).get(c, "") for c in range(1, width + 1)] for r in range(first, min(last, first + SHEET_ROWS) + 1)]
+            lines = [[rows.get(r, {}).get(c, "") for c in range(1, width + 1)] for r in range(first, (last if most is None else min(last, first + most)) + 1)]
             head: list[str] = []
             for i, h in enumerate(lines[0]):
                 h, n = h or f"Unnamed: {i}", 0
@@ -187,10 +203,13 @@ def sheet_texts(data: bytes) -> list[str]:
     return out
 
 
-def printable(data: bytes, least: int = 4, most: int = 250) -> str:
-    """Readable stretches of a binary file, each once."""
+_DRAWING = re.compile(r"%|/[A-Za-z]|(?:[-\d.]+ )*(?:def|bind def|moveto|lineto|curveto|setfont|scalefont|show|stroke|fill|gsave|grestore|newpath|closepath|end|endobj|obj)$")
+
+
+def printable(data: bytes, least: int = 4, most: int | None = None) -> str:
+    """Readable stretches of a binary file, each once, without drawing commands and hexadecimal data."""
     found = dict.fromkeys(m.decode("ascii").strip() for m in re.findall(rb"[\x20-\x7e]{%d,}" % least, data))
-    kept = [s for s in found if s and not (len(s) >= 24 and sum(c in "0123456789abcdefABCDEF" for c in s) > 0.85 * len(s))]
+    kept = [s for s in found if s and not _DRAWING.match(s) and not (len(s) >= 24 and sum(c in "0123456789abcdefABCDEF" for c in s) > 0.85 * len(s))]
     return "\n".join(kept[:most])
 
 
@@ -206,14 +225,25 @@ def email_text(data: bytes) -> str:
     return "\n".join(s.strip() for s in parts if s.strip())
 
 
-def package_units(data: bytes) -> Iterator[tuple[str, str | None]]:
-    """Text members of a package with safe names; names that lead out of it are left aside."""
+def _members(z: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """Members with safe names; those whose names lead out of the package are left aside."""
+    return [i for i in z.infolist() if not i.is_dir() and not i.filename.startswith("/") and ".." not in i.filename.split("/")]
+
+
+def package_names(data: bytes, most: int | None = None) -> list[str]:
+    """Names of the members of a package."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        return [i.filename for i in _members(z)[:most]]
+
+
+def package_units(data: bytes, limits: Limits = WHOLE) -> Iterator[tuple[str, str | None]]:
+    """Names and texts of the text members of a package."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        safe = [i for i in z.infolist() if not i.is_dir() and not i.filename.startswith("/") and ".." not in i.filename.split("/")]
         read = 0
-        for i in safe:
+        for i in _members(z):
             suffix = "." + i.filename.rsplit(".", 1)[-1].lower() if "." in i.filename else ""
-            if suffix in TEXT_EXTENSIONS and i.file_size <= MEMBER_BYTES and read < MEMBERS_READ:
+            small = limits.member_bytes is None or i.file_size <= limits.member_bytes
+            if suffix in TEXT_EXTENSIONS and small and read != limits.members:
                 read += 1
                 yield i.filename, decode(z.read(i))
 
@@ -227,12 +257,15 @@ def postscript_text(data: bytes) -> str:
     return "\n".join(t for _, _, t in sorted(shown) if t.strip())
 
 
-def units_of(path: str, kind: str | None, data: bytes) -> list[tuple[int, str, str, str | None]]:
-    """Number, type, text and warning of the units of one file. What cannot be read is a warning, not an error."""
+_RASTER = (b"8BPS", b"\x89PNG", b"\xff\xd8\xff", b"GIF8", b"II*\x00", b"MM\x00*")
+
+
+def units_of(path: str, kind: str | None, data: bytes, limits: Limits = PREVIEW) -> list[tuple[int, str, str, str | None]]:
+    """Number, type, text and warning of the units of one file. What cannot be read is its printable strings with a warning, not an error."""
     suffix = "." + path.rsplit(".", 1)[-1].lower() if "." in path else ""
     try:
         if kind == "table":
-            return [(1, "sheet", table_text(decode(data)), None)]
+            return [(1, "sheet", table_text(decode(data), limits.table_rows), None)]
         if kind == "markup":
             text = decode(data)
             text = html_text(text) if suffix in (".html", ".htm") else xml_text(text) if suffix in (".xml", ".svg") else text
@@ -243,15 +276,19 @@ def units_of(path: str, kind: str | None, data: bytes) -> list[tuple[int, str, s
         if kind == "email":
             return [(1, "email", email_text(data), None)]
         if kind == "package":
-            return [(i, "member", f"{name}\n{t}", None) for i, (name, t) in enumerate(package_units(data), 1)]
+            names = (1, "listing", "\n".join(package_names(data, limits.names)), None)
+            return [names, *((i, "member", f"{name}\n{t}", None) for i, (name, t) in enumerate(package_units(data, limits), 2))]
         if kind == "spreadsheet":
             if data[:2] != b"PK":
-                return [(1, "sheet", printable(data), f"no reader for spreadsheets of this format: {suffix}")]
-            return [(i, "sheet", t, None) for i, t in enumerate(sheet_texts(data), 1)]
+                return [(1, "sheet", printable(data, most=limits.strings), f"no reader for spreadsheets of this format: {suffix}")]
+            return [(i, "sheet", t, None) for i, t in enumerate(sheet_texts(data, limits.sheet_rows), 1)]
         text = postscript_text(data) if data[:2] == b"%!" else ""
-        return [(1, "fallback", text or printable(data), None if kind else f"unknown file type {suffix}")]
+        warning = None if kind else f"unknown file type {suffix}"
+        if not text and data.startswith(_RASTER):
+            warning = "raster image: no text without recognition"
+        return [(1, "fallback", text or printable(data, most=limits.strings), warning)]
     except Exception as e:  # noqa: BLE001 - one broken file must not end the job
-        return [(1, kind or "fallback", "", f"not readable: {type(e).__name__}")]
+        return [(1, kind or "fallback", printable(data, most=limits.strings), f"not readable: {type(e).__name__}; printable strings")]
 
 
 def registry(spark: SparkSession) -> DataFrame:
@@ -259,35 +296,111 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x, k) for k, v in KINDS.items() for x in v.split()], "extension string, kind string")
 
 
-def read_units(spark: SparkSession, path: str) -> DataFrame:
-    """Units of all files under ``path``: ``path, source_no, source_type, text, warning``."""
+def read_units(spark: SparkSession, path: str, limits: Limits = WHOLE) -> DataFrame:
+    """Units of all files under ``path``: ``path, source_no, source_type, text, warning``; whole unless limits are given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     known = files.withColumn("extension", extension(F.col("path"))).join(F.broadcast(registry(spark)), "extension", "left")  # settings
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in it:
-            rows = [(p, *u) for p, k, d in zip(t.path, t.kind, t.content) for u in units_of(p, k, bytes(d))]
+            rows = [(p, *u) for p, k, d in zip(t.path, t.kind, t.content) for u in units_of(p, k, bytes(d), limits)]
             yield pd.DataFrame(rows, columns=["path", "source_no", "source_type", "text", "warning"])
 
     return known.select("path", "kind", "content").mapInPandas(read, UNIT_SCHEMA)
 
 
-def newest_file(spark: SparkSession, path: str) -> str | None:
-    """The file under ``path`` that was changed last."""
+def newest_file(spark: SparkSession, path: str, default: str | None = None, sample: str | None = "sample") -> str | None:
+    """The file ``default`` if there is one of that name, else the one changed last; those named ``sample...`` only as a last resort."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime")
-    best = rows.orderBy(F.desc("modificationTime"), "path").limit(1).collect()
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    last = F.lit(False) if sample is None else name.startswith(sample)
+    first = F.lit(False) if default is None else name == default.lower()
+    best = rows.orderBy(F.desc(first), last, F.desc("modificationTime"), "path").limit(1).collect()
     return best[0].path if best else None
 
 
+def checklist_lines(data: bytes) -> list[str]:
+    """Paragraphs and table rows, cells joined by bars, of a word-processor package in the order of its body."""
+    space = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{space}body")
+    out = []
+
+    def words(e: ElementTree.Element) -> str:
+        return "".join(t.text or "" for t in e.iter(f"{space}t")).strip()
+
+    for child in body if body is not None else ():
+        if child.tag == f"{space}p":
+            out.append(words(child))
+        elif child.tag == f"{space}tbl":
+            for row in child.iter(f"{space}tr"):
+                cells = [" ".join(filter(None, (words(p) for p in c.iter(f"{space}p")))) for c in row.findall(f"{space}tc")]
+                out.append(" | ".join(c for c in cells if c))
+    return [s for s in out if s]
+
+
+def read_checklists(spark: SparkSession, path: str) -> DataFrame:
+    """``doc, line_no, line`` of checklist documents under ``path``; doc is the version: name and beginning of the content's hash."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("lower(path) like '%.docx'")
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    named = files.select(F.concat(stem, F.lit(":"), F.substring(F.sha2("content", 256), 1, 16)).alias("doc"), "content")
+
+    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in it:
+            rows = []
+            for doc, data in zip(t.doc, t.content):
+                try:
+                    lines = checklist_lines(bytes(data))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    lines = printable(bytes(data)).split("\n")
+                rows += [(doc, i, s) for i, s in enumerate(lines, 1)]
+            yield pd.DataFrame(rows, columns=["doc", "line_no", "line"])
+
+    return named.mapInPandas(read, "doc string, line_no long, line string")
+
+
+def read_references(spark: SparkSession, path: str) -> DataFrame:
+    """``job, ground_truth, transcript`` of the folders under ``path``: texts beside a file; a transcript may be subtitles."""
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value"))
+    parts = F.split("path", "/")
+    rows = rows.select(F.element_at(parts, -2).alias("job"), F.element_at(parts, -1).alias("name"), "value")
+    kept = F.filter(F.split("value", "\r?\n"), lambda s: (F.trim(s) != "") & ~s.rlike(r"^\s*\d+\s*$") & ~s.contains("-->"))
+    plain = F.array_join(F.transform(kept, lambda s: F.trim(s)), " ")
+
+    def of(name: str, value) -> object:
+        return F.max(F.when(F.col("name") == name, value))
+
+    spoken = F.coalesce(of("reference_transcript.txt", F.col("value")), of("reference_transcript.srt", plain))
+    return rows.groupBy("job").agg(of("ground_truth.txt", F.col("value")).alias("ground_truth"), spoken.alias("transcript")).where("ground_truth is not null or transcript is not null")
+
+
+_MESSAGE_COLUMNS = (("key_message_id", ("keymessageid", "messageid", "kmid", "id")), ("brand_product", ("brandproduct", "brand", "product")), ("key_message", ("keymessage", "approvedmessage", "message")))
+
+
+def _places(names: list[str]) -> list[int]:
+    """Where the three columns of a key message stand: by name, else by position."""
+    plain = [re.sub(r"[^a-z0-9]", "", c.lower()) for c in names]
+    return [next((plain.index(o) for o in options if o in plain), min(i, len(names) - 1)) for i, (_, options) in enumerate(_MESSAGE_COLUMNS)]
+
+
 def read_key_messages(spark: SparkSession, path: str) -> DataFrame:
-    """``key_message_id, brand_product, key_message`` of a file with a header; columns by name, else by position."""
+    """``key_message_id, brand_product, key_message`` of a text table or workbook with a header; missing values are empty, rows without id left out."""
+    names = [n for n, _ in _MESSAGE_COLUMNS]
+    if path.lower().endswith(".xlsx"):
+        files = spark.read.format("binaryFile").load(path).select("content")
+
+        def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for t in it:
+                rows = []
+                for data in t.content:
+                    table = list(csv.reader(io.StringIO(sheet_texts(bytes(data))[0])))
+                    at = _places(table[0]) if table else []
+                    rows += [[r[i].strip() for i in at] for r in table[1:]]
+                yield pd.DataFrame(rows, columns=names)
+
+        return files.mapInPandas(read, ", ".join(f"{n} string" for n in names)).where("key_message_id <> ''")
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    plain = [re.sub(r"[^a-z0-9]", "", c.lower()) for c in df.columns]
-    wanted = (("key_message_id", ("keymessageid", "messageid", "kmid", "id")), ("brand_product", ("brandproduct", "brand", "product")), ("key_message", ("keymessage", "approvedmessage", "message")))
-    out = []
-    for place, (name, options) in enumerate(wanted):
-        at = next((plain.index(o) for o in options if o in plain), min(place, len(df.columns) - 1))
-        out.append(F.coalesce(F.trim(F.col(f"`{df.columns[at]}`")), F.lit("")).alias(name))
+    out = [F.coalesce(F.trim(F.col(f"`{df.columns[i]}`")), F.lit("")).alias(n) for n, i in zip(names, _places(df.columns))]
     return df.select(*out).where("key_message_id <> ''")
 
 

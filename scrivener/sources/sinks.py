@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivener.functions.text import words
 from scrivener.operators.tables import newest, upsert
 
 
@@ -36,23 +37,49 @@ def with_record_key(df: DataFrame, key: str, own: str) -> DataFrame:
     return df.withColumn("record_key", F.coalesce("record_key", made) if "record_key" in df.columns else made)
 
 
-def _rename(spark: SparkSession, old: str, new: str) -> None:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(new).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path(new), True)
-    if not fs.rename(fs_path(old), fs_path(new)):
-        raise OSError(f"cannot rename {old} to {new}")
+def _paths(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target = hadoop(path.rstrip("/"))
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop, path.rstrip("/")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Bring back the table that a crash within ``replace`` has left under its other name."""
+    fs, hadoop, base = _paths(spark, path)
+    if not fs.exists(hadoop(base)) and fs.exists(hadoop(f"{base}.before")):
+        fs.rename(hadoop(f"{base}.before"), hadoop(base))
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write the new table beside the old one and swap them, so that the plan may read the old one."""
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    """Write the new table beside the old one and swap them, so that the plan may read the old one.
+
+    The old table keeps another name until the new one has its place; see ``recover``.
+    """
+    spark = df.sparkSession
+    fs, hadoop, base = _paths(spark, path)
+    beside, before = f"{base}.{uuid.uuid4().hex}", f"{base}.before"
     df.write.parquet(beside)
-    _rename(df.sparkSession, beside, path)
+    if fs.exists(hadoop(base)):
+        fs.delete(hadoop(before), True)
+        if not fs.rename(hadoop(base), hadoop(before)):
+            raise OSError(f"cannot move {base}")
+    if not fs.rename(hadoop(beside), hadoop(base)):
+        raise OSError(f"cannot rename {beside} to {base}")
+    fs.delete(hadoop(before), True)
 
 
 def merge(df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] = ()) -> None:
     """Update the table by key; of several new rows of a key that of greatest ``order`` holds."""
     spark = df.sparkSession
+    recover(spark, path)
     old = spark.read.parquet(path)
     replace(upsert(old, newest(df, keys, order).select(*old.columns), keys, keep), path)
+
+
+def message_table(messages: DataFrame, order: str) -> DataFrame:
+    """Key messages as they replace a stored table: blank ids left out, a ``record_key`` of id and place, key words made where missing."""
+    long = F.filter(F.transform(words(F.col("key_message")), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+\z", "")), lambda w: F.length(w) > 4)
+    made = F.array_join(F.slice(F.array_distinct(long), 1, 6), ", ")
+    rows = messages.where(F.trim("key_message_id") != "")
+    key = F.concat(F.col("key_message_id"), F.lit("::"), F.col(order).cast("string"))
+    return rows.withColumns({"record_key": key, "key_words": F.coalesce(F.when(F.trim("key_words") != "", F.col("key_words")), made)})

@@ -4,8 +4,6 @@ import io
 import random
 import zipfile
 
-import pytest
-
 from scrivener.functions.correction import indel_ratio
 from scrivener.operators.matching import correct_words
 from scrivener.plans import reviews
@@ -98,8 +96,9 @@ def test_more_brands_than_one_expression_holds(spark, tmp_path):
     names = [f"brand{a}{b}{c}x" for a in "abcdefghijk" for b in "lmnopqrstuv" for c in "abcdefghijk"]
     spark.createDataFrame([(n,) for n in names], "brand_product string").write.parquet(f"{tmp_path}/key_message_matches.parquet")
     spark.createDataFrame(enumerate(names), "ocr_id long, text string").write.parquet(f"{tmp_path}/ocr_results.parquet")
-    spark.createDataFrame([(1, 1, "x")], "unit_id long, upload_id long, text string").write.parquet(f"{tmp_path}/source_chunks.parquet")
+    units = [(i, 1, f"see {n.upper()}, not {n}y") for i, n in enumerate(names)] + [(-1, 1, names[0] + "y"), (-2, 1, None)]
+    spark.createDataFrame(units, "unit_id long, upload_id long, text string").write.parquet(f"{tmp_path}/source_chunks.parquet")
     own = {(r.ocr_id, r.alias) for r in reviews.fuzzy_first_brands(spark, str(tmp_path)).where("score = 1").collect()}
     assert own == set(enumerate(names))
-    with pytest.raises(ValueError, match="aliases"):
-        reviews.first_brands(spark, str(tmp_path))
+    first = {(r.unit_id, r.alias, r.position) for r in reviews.first_brands(spark, str(tmp_path)).collect()}
+    assert first == {(i, n, 4) for i, n in enumerate(names)}
