@@ -16,6 +16,7 @@ from scrivener.functions.quality import half_up
 from scrivener.functions.text import STOP_WORDS, brand_aliases, clean_text, first_caps_line, words
 from scrivener.operators.matching import alias_positions, fuzzy_brands
 from scrivener.operators.ranges import sum_before
+from scrivener.session import cut
 
 #: Words of a window and words that it shares with the next.
 SIZE, OVERLAP = 160, 30
@@ -74,10 +75,13 @@ def semantic_scores(units: DataFrame, messages: DataFrame) -> DataFrame:
     a message's norm under those weights comes from three sums of its own and its shared terms.
     """
     terms, sizes = window_terms(units)
+    # written once, as everything below reads them several times
+    terms, sizes = cut(terms), cut(sizes)
     own = messages.select("record_key", F.explode(map_terms(F.concat_ws(" ", "brand_product", "key_message"))).alias("term"))
     own = own.groupBy("record_key", "term").agg(F.count("*").alias("m"))
     df = own.groupBy("term").agg(F.count("*").alias("mdf"))
-    own = own.join(df, "term").withColumn("g", F.log(F.col("mdf") + 1.0))
+    own = cut(own.join(df, "term").withColumn("g", F.log(F.col("mdf") + 1.0)))
+    df = own.select("term", "mdf").distinct()
     sums = own.groupBy("record_key").agg(
         F.sum(F.col("m") * F.col("m")).alias("a"), F.sum(F.col("m") * F.col("m") * F.col("g")).alias("b"), F.sum(F.col("m") * F.col("m") * F.col("g") * F.col("g")).alias("c")
     )
@@ -85,6 +89,7 @@ def semantic_scores(units: DataFrame, messages: DataFrame) -> DataFrame:
     level = F.log(F.lit(1.0 + whole) + F.col("n")) + 1  # of a term in no text of the collection
     in_doc = terms.groupBy("doc", "term").agg(F.count("*").alias("wdf")).join(df, "term", "left").join(sizes, "doc")
     in_doc = in_doc.select("doc", "term", (level - F.log(1.0 + F.col("wdf") + F.coalesce("mdf", F.lit(0)))).alias("idf"), level.alias("level"))
+    in_doc = cut(in_doc)
     weighed = terms.join(in_doc, ["doc", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
     lengths = weighed.groupBy("doc", "at").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = weighed.join(own, "term").groupBy("doc", "at", "record_key").agg(F.sum(F.col("w") * F.col("m") * F.col("idf")).alias("dot"))
@@ -129,9 +134,9 @@ def brand_scores(units: DataFrame, brands: DataFrame, rules: Rules = Rules(), fu
     and a brand in the first line in capitals 1.
     """
     named = brands.select("brand_product", F.explode(brand_aliases(F.col("brand_product"))).alias("alias"))
-    single = named.groupBy("alias").agg(F.count_distinct("brand_product").alias("n"), F.min("brand_product").alias("brand_product")).where("n = 1").drop("n")
+    single = cut(named.groupBy("alias").agg(F.count_distinct("brand_product").alias("n"), F.min("brand_product").alias("brand_product")).where("n = 1").drop("n"))
     texts = units.select("doc", "unit", clean_text(F.col("text")).alias("text")).where("text <> ''")
-    starts = sum_before(texts.select("doc", "unit", (F.length("text") + 1).alias("n")), "doc", "unit", "n", "start").select("doc", "unit", "start")
+    starts = cut(sum_before(texts.select("doc", "unit", (F.length("text") + 1).alias("n")), "doc", "unit", "n", "start").select("doc", "unit", "start"))
     exact = alias_positions(texts, "unit", "text", single.select("alias")).join(starts, "unit").join(single, "alias")
     exact = exact.groupBy("doc", "brand_product").agg(F.min(F.col("start") + F.col("position")).alias("position"))
     scores = exact.select("doc", "brand_product", F.lit(2).alias("rank"), (F.lit(0.99) - F.least("position", F.lit(200)) * 0.0001).alias("brand_score"))
@@ -155,10 +160,10 @@ def map_messages(
     text and messages that are null match nothing.
     """
     brands = messages.select("brand_product").where("brand_product is not null").distinct()
-    mentioned = brand_scores(units, brands, rules, fuzzy)
+    mentioned = cut(brand_scores(units, brands, rules, fuzzy))
     keys = messages.select("record_key", "brand_product")
     boosted = mentioned.join(keys, "brand_product").drop("brand_product")
-    scored = semantic_scores(units, messages).join(boosted, ["doc", "record_key"], "full_outer")
+    scored = cut(semantic_scores(units, messages)).join(boosted, ["doc", "record_key"], "full_outer")
     semantic = F.coalesce("semantic", F.lit(0.0))
 
     def raised(by: float, most: float) -> Column:
@@ -172,6 +177,7 @@ def map_messages(
     rows = scored.select("doc", "record_key", "brand_score", score.alias("score")).join(docs.select("doc", "file_type"), "doc").join(sure, "doc", "left")
     locked = F.col("file_type").isin(*LOCKED) & F.col("surest").isNotNull()
     rows = rows.withColumn("locked", F.coalesce(locked, F.lit(False))).where(~F.col("locked") | (F.col("brand_score") >= F.col("surest") - rules.lock_width))
+    rows = cut(rows)
     tops = rows.groupBy("doc").agg(F.max("score").alias("top"))
     least = (
         F.when(F.col("locked") & (F.col("surest") < 1.0), F.greatest(F.lit(rules.lock_threshold), F.col("top") - rules.lock_step))

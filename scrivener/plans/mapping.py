@@ -9,7 +9,7 @@ from scrivener.functions import text
 from scrivener.functions.quality import half_up
 from scrivener.operators.mapping import map_messages, semantic_scores
 from scrivener.plans import sql
-from scrivener.session import once, table
+from scrivener.session import cut, once, table
 
 
 def key_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def newest_analyses(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 def _mapped(spark: SparkSession, sf_dir: str, top_k: int, fuzzy: bool) -> DataFrame:
     docs = newest_analyses(spark, sf_dir, "file_type").select(F.col("upload_id").alias("doc"), "file_type")
-    messages = key_messages(spark, sf_dir)
+    messages = cut(key_messages(spark, sf_dir))
     rows = map_messages(docs, unit_texts(spark, sf_dir), messages, top_k, fuzzy=fuzzy)
     return rows.join(messages, "record_key").select(F.col("doc").alias("upload_id"), "place", "key_message_id", "brand_product", "key_message", "confidence_score")
 
@@ -57,7 +57,7 @@ def all_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best likeness of any window of an upload with a key message."""
-    return semantic_scores(unit_texts(spark, sf_dir), key_messages(spark, sf_dir)).select(F.col("doc").alias("upload_id"), "record_key", half_up(F.col("semantic"), 4).alias("score"))
+    return semantic_scores(unit_texts(spark, sf_dir), cut(key_messages(spark, sf_dir))).select(F.col("doc").alias("upload_id"), "record_key", half_up(F.col("semantic"), 4).alias("score"))
 
 
 def shown_keywords(brand: Column, stored: Column, most: int = 6) -> Column:
