@@ -7,8 +7,12 @@ without a shared term and without a mentioned brand scores 0, and no threshold l
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ from scrivener.session import cut
 
 #: Words of a window and words that it shares with the next.
 SIZE, OVERLAP = 160, 30
+#: Units of a document that one task reads as a whole, and messages that every task has.
+MOST_UNITS, MOST_MESSAGES = 2_000, 20_000
 #: Kinds of files whose matches keep to the brand found.
 LOCKED = ("pdf", "ppt", "pptx", "image", "video")
 #: Kinds of files that give ten matches if no number is asked for.
@@ -71,9 +77,66 @@ def window_terms(units: DataFrame) -> tuple[DataFrame, DataFrame]:
 def semantic_scores(units: DataFrame, messages: DataFrame) -> DataFrame:
     """``doc, record_key, semantic``: the best TF-IDF cosine of any window of a document with a message, 6 decimals.
 
-    Weights count a document's windows and all messages as the texts of one collection, as if fitted for it alone;
-    a message's norm under those weights comes from three sums of its own and its shared terms.
+    Weights count a document's windows and all messages as the texts of one collection, as if fitted for it alone.
+    Documents of at most ``MOST_UNITS`` units are read as a whole, each by one task that has all messages; larger ones,
+    and all if there are more than ``MOST_MESSAGES``, are joined term by term, with the same result.
     """
+    if messages.limit(MOST_MESSAGES + 1).count() > MOST_MESSAGES:
+        return _scores_by_terms(units, messages)
+    large = cut(units.groupBy("doc").agg(F.count("*").alias("n")).where(F.col("n") > MOST_UNITS).select("doc"))
+    if not large.limit(1).count():
+        return _scores_by_documents(units, messages)
+    small = _scores_by_documents(units.join(large, "doc", "left_anti"), messages)
+    return small.unionByName(_scores_by_terms(units.join(large, "doc", "left_semi"), messages))
+
+
+def _scores_by_documents(units: DataFrame, messages: DataFrame) -> DataFrame:
+    own = messages.select("record_key", map_terms(F.concat_ws(" ", "brand_product", "key_message")).alias("terms")).collect()  # at most MOST_MESSAGES
+    keys = [r.record_key for r in own]
+    holders: dict[str, list[tuple[int, int]]] = {}
+    for i, r in enumerate(own):
+        for t, m in Counter(r.terms).items():
+            holders.setdefault(t, []).append((i, m))
+    index = {t: (np.array([i for i, _ in h]), np.array([m for _, m in h], float)) for t, h in holders.items()}
+    sums = np.zeros((3, len(keys)))  # of m², m² ln(1 + df) and m² ln(1 + df)²
+    for at, m in index.values():
+        g = np.log(len(at) + 1.0)
+        for row, x in zip(sums, (1.0, g, g * g)):
+            row[at] += m * m * x
+    shared = units.sparkSession.sparkContext.broadcast((keys, index, sums, frozenset(STOP_WORDS)))
+    term = re.compile(r"\w{2,}")
+
+    def score(t: pd.DataFrame) -> pd.DataFrame:
+        names, found, (a, b, c), stop = shared.value
+        words = [w for x in t.sort_values("unit").text for w in x.split()]
+        step = SIZE - OVERLAP
+        each = [Counter(x for w in words[i : i + SIZE] for x in term.findall(w) if x not in stop) for i in range(0, len(words), step)]
+        df = Counter(x for w in each for x in w)
+        level = np.log(len(each) + len(names) + 1.0) + 1
+        idf = {x: level - np.log(1.0 + n + (len(found[x][0]) if x in found else 0)) for x, n in df.items()}
+        norm = a * level * level - 2 * level * b + c
+        for x in df.keys() & found.keys():
+            at, m = found[x]
+            norm[at] += m * m * (idf[x] ** 2 - (level - np.log(len(at) + 1.0)) ** 2)
+        best = np.zeros(len(names))
+        for w in each:
+            dots = np.zeros(len(names))
+            for x in w.keys() & found.keys():
+                at, m = found[x]
+                dots[at] += w[x] * idf[x] ** 2 * m
+            if dots.any():
+                np.maximum(best, dots / np.sqrt(sum((n * idf[x]) ** 2 for x, n in w.items())), out=best)
+        hit = np.flatnonzero(best > 0)
+        doc = pd.Series([t.doc.iloc[0]] * len(hit), dtype=object)
+        return pd.DataFrame({"doc": doc, "record_key": pd.Series([names[i] for i in hit], dtype=object), "score": best[hit] / np.sqrt(norm[hit])})
+
+    kind = units.schema["doc"].dataType.simpleString()
+    rows = units.select("doc", "unit", F.lower("text").alias("text")).where("text is not null")
+    return rows.groupBy("doc").applyInPandas(score, f"doc {kind}, record_key string, score double").select("doc", "record_key", F.round("score", 6).alias("semantic"))
+
+
+def _scores_by_terms(units: DataFrame, messages: DataFrame) -> DataFrame:
+    """The same by joins of terms; a message's norm comes from three sums of its own and its shared terms."""
     terms, sizes = window_terms(units)
     # written once, as everything below reads them several times
     terms, sizes = cut(terms), cut(sizes)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scrivener import session
 from scrivener.functions import metrics
 from scrivener.functions.text import STOP_WORDS
-from scrivener.operators import matching
+from scrivener.operators import mapping, matching
 from scrivener.operators.checklists import checklist_rows
 from scrivener.operators.correction import all_terms, corrected, default_rules
 from scrivener.operators.mapping import map_messages
@@ -148,7 +148,10 @@ def _brute_mapping(kind, units, messages, top_k):
     return [(k, round(s, 3)) for k, _, s in rows[:top_k] if s >= least and s > 0]
 
 
-def test_mapping_against_brute_force(spark):
+@pytest.mark.parametrize("most", [(0, 20_000), (2, 20_000), (2_000, 20_000), (2_000, 3)])
+def test_mapping_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(mapping, "MOST_UNITS", most[0])
+    monkeypatch.setattr(mapping, "MOST_MESSAGES", most[1])
     r = random.Random(8)
     brands = ["Zorvexin", "Calmodan", "Brixomel", "Tresvikal"]
     nouns = "pain fever therapy adults children dose tablet heart asthma migraine placebo trial safety relief headache study".split()
