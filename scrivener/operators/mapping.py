@@ -193,12 +193,12 @@ def possible_mentions(units: DataFrame, brands: DataFrame) -> DataFrame:
 def brand_scores(units: DataFrame, brands: DataFrame, rules: Rules = Rules(), fuzzy: bool = True) -> DataFrame:
     """``doc, brand_product, kind, brand_score`` of the brands that a document mentions: possible, exact or fuzzy.
 
-    Only aliases of a single brand count. An exact mention scores less the later it comes, a fuzzy one by its likeness,
+    units: ``doc, unit, text``, cleaned and not empty. Only aliases of a single brand count. An exact mention scores less the later it comes, a fuzzy one by its likeness,
     and a brand in the first line in capitals 1.
     """
     named = brands.select("brand_product", F.explode(brand_aliases(F.col("brand_product"))).alias("alias"))
     single = cut(named.groupBy("alias").agg(F.count_distinct("brand_product").alias("n"), F.min("brand_product").alias("brand_product")).where("n = 1").drop("n"))
-    texts = units.select("doc", "unit", clean_text(F.col("text")).alias("text")).where("text <> ''")
+    texts = units
     starts = cut(sum_before(texts.select("doc", "unit", (F.length("text") + 1).alias("n")), "doc", "unit", "n", "start").select("doc", "unit", "start"))
     exact = alias_positions(texts, "unit", "text", single.select("alias")).join(starts, "unit").join(single, "alias")
     exact = exact.groupBy("doc", "brand_product").agg(F.min(F.col("start") + F.col("position")).alias("position"))
@@ -223,6 +223,7 @@ def map_messages(
     text and messages that are null match nothing.
     """
     brands = messages.select("brand_product").where("brand_product is not null").distinct()
+    units = cut(units.select("doc", "unit", clean_text(F.col("text")).alias("text"))).where("text <> ''")  # cleaned once for all that follows
     mentioned = cut(brand_scores(units, brands, rules, fuzzy))
     keys = messages.select("record_key", "brand_product")
     boosted = mentioned.join(keys, "brand_product").drop("brand_product")

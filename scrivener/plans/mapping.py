@@ -23,7 +23,7 @@ def key_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc, unit, text`` of all units of uploads."""
     rows = once(table(spark, sf_dir, "source_chunks").select("unit_id", "upload_id", "text"), "unit_id")
-    return rows.where("upload_id is not null").select(F.col("upload_id").alias("doc"), F.col("unit_id").alias("unit"), text.clean_text(F.col("text")).alias("text")).where("text <> ''")
+    return rows.where("upload_id is not null and text <> ''").select(F.col("upload_id").alias("doc"), F.col("unit_id").alias("unit"), "text")
 
 
 def newest_analyses(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
