@@ -106,12 +106,14 @@ MOST_HEADS = 100_000
 _HEAD = r"[a-z0-9]+|[^\sa-z0-9]"
 
 
-def alias_positions(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
+def alias_positions(texts: DataFrame, key: str, text: str, aliases: DataFrame | list[str]) -> DataFrame:
     """``key, alias, position`` (from 0) of the earliest mention of each alias that stands free of letters and digits.
 
-    ``aliases`` holds ``alias``, distinct, in lower case, of any number. Words of the texts with what follows them meet
+    ``aliases`` holds ``alias``, distinct, in lower case, of any number, or is a list of them. Words of the texts with what follows them meet
     the aliases that begin with them. A null text mentions nothing.
     """
+    if isinstance(aliases, list):
+        aliases = texts.sparkSession.createDataFrame([(a,) for a in aliases], "alias string")
     names = aliases.select("alias", F.regexp_extract("alias", _HEAD, 0).alias("head")).where("head <> ''")
     longest = names.agg(F.max(F.length("alias"))).first()[0] or 0
     heads = names.select("head").distinct().limit(MOST_HEADS + 1).collect()
