@@ -35,7 +35,7 @@ LEVEL = 3
 #: Parts of the families in the selection of windows and in the choice of the threshold.
 FOLDS, HELD_OUT = 5, 3
 #: Margin that selects a window, bytes that a margin counts at least, and thresholds that are tried.
-SELECTED, SHORTEST = 0.2, 24
+SELECTED, SHORTEST = 0.2, 16
 GRID = np.arange(0.06, 0.42, 0.02)
 _CARRIER = b"\nit is noted here that "
 
