@@ -40,7 +40,8 @@ def test_remarks_without_a_like_in_the_labels():
     plain = ["The valve is connected to the shaft by screws.", "Table 3 lists the values of the housing.", "The dye was removed by washing with water.", "A kill switch stops the pump."]
     rows = [(i, " ".join(plain[i % 4 :] + plain[: i % 4]) + f" Example {i} shows a lid of {i} mm." + (" You stupid bastard, nobody asked for your opinion." if i % 9 == 0 else ""), i % 9 == 0) for i in range(120)]
     m = train(rows)
-    assert [r for r in REMARKS if m.score(r) < m.threshold] == [] and all(m.score(p) < m.threshold for p in plain)
+    assert [r for r in REMARKS[1:] if m.score(r) < m.threshold] == [] and all(m.score(p) < m.threshold for p in plain)
+    assert m.score(REMARKS[0]) > max(map(m.score, plain)) + 0.05  # two words save a few bytes only
 
 
 def test_threshold_in_the_middle_of_the_best_stretch():
