@@ -251,7 +251,7 @@ def new_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def changed_message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key-message files whose state of 2025 was not loaded before: name, last change and number of records."""
-    rows = once(table(spark, sf_dir, "key_message_records").select("record_id", "source_file", "received_at"), "record_id")
+    rows = table(spark, sf_dir, "key_message_records").groupBy("record_id", "source_file").agg(F.min("received_at").alias("received_at"))  # the first delivery
 
     def state(df: DataFrame) -> DataFrame:
         return df.groupBy(F.col("source_file").alias("path")).agg(F.unix_micros(F.max("received_at")).alias("modified"), F.count("*").alias("size"))
@@ -424,7 +424,7 @@ SQL = {
             from {sql.ANALYSES} where upload_id is not null)
         select distinct key from k where created_at >= timestamptz '2025-01-01' and key not in (select key from k where created_at < timestamptz '2025-01-01')""",
     "cq9_changed_message_files": """
-        with r as (select distinct on (record_id) record_id, source_file as path, received_at from key_message_records),
+        with r as (select record_id, source_file as path, min(received_at) as received_at from key_message_records group by all),
         a as (select path, epoch_us(max(received_at)) as modified, count(*) as size from r group by 1),
         b as (select path, epoch_us(max(received_at)) as modified, count(*) as size from r where received_at < timestamptz '2025-01-01' group by 1)
         select * from a except select * from b""",
