@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrivener.functions.quality import is_noise_line
 from scrivener.functions.text import clean_text, clock_parts, line_key
@@ -129,3 +133,38 @@ def activity_lines(c: Column) -> Column:
     first = F.filter(keyed, lambda x: F.array_position(keys, x["k"]) == x["i"] + 1)
     strong = F.filter(first, lambda x: ~x["k"].isin(*WEAK_ACTIVITIES))
     return F.array_join(F.transform(F.array_sort(F.when(F.size(strong) > 0, strong).otherwise(first)), lambda x: x["s"]), "\n")
+
+
+_FRAME = re.compile(r"((?:\d{2}:\d{2}\s+)?frame\s+\d+):\s*(.*)", re.IGNORECASE)
+
+
+def frame_blocks(text: str, lines_most: int = 4, blocks_most: int = 6) -> str:
+    """One line for each labelled frame: its different lines, at most four; frames that say the same once, at most six."""
+
+    def key(x: str) -> str:
+        return re.sub(r"\W+", " ", x.lower()).strip()
+
+    frames: list[tuple[str, dict[str, str]]] = []
+    for line in text.split("\n"):
+        m = _FRAME.fullmatch(line.strip())
+        if m:
+            frames.append((m[1], {}))
+        body = (m[2] if m else line).strip().rstrip(" .;")
+        if frames and key(body):
+            frames[-1][1].setdefault(key(body), body)
+    said: dict[str, str] = {}
+    for label, own in frames:
+        if own:
+            shown = "; ".join(list(own.values())[:lines_most])
+            said.setdefault(key(shown), f"{label}: On-screen content shows {shown}.")
+    return "\n".join(list(said.values())[:blocks_most])
+
+
+@F.pandas_udf(T.StringType())
+def _blocks(texts: pd.Series) -> pd.Series:
+    return texts.map(frame_blocks, na_action="ignore")
+
+
+def frame_content(c: Column) -> Column:
+    """``frame_blocks`` of a cleaned column; empty where no frame is labelled."""
+    return _blocks(clean_text(c))

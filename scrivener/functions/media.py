@@ -84,6 +84,12 @@ def chosen_frames(
     return given.groupBy(key).applyInPandas(fold, schema)
 
 
+def sampled_frames(frames: DataFrame, key: str, at: str, every: float) -> DataFrame:
+    """``key, at`` of the first frame in each interval of ``every`` seconds; frames without time are left out."""
+    rows = frames.where(F.col(at).isNotNull()).groupBy(key, F.floor(F.col(at) / every).alias("__part")).agg(F.min(at).alias(at))
+    return rows.drop("__part")
+
+
 def page_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, page_no, title, text`` of texts with markers ``PAGE 3 - Title`` or ``Page No: 3``; text before the first is page 0."""
     schema = T.StructType([df.schema[key], *[T.StructField(n, k) for n, k in (("page_no", T.IntegerType()), ("title", T.StringType()), ("text", T.StringType()))]])

@@ -95,3 +95,9 @@ def selection_score(text: Column, confidence: Column) -> Column:
         F.coalesce(known, F.lit(45.0)) * 0.45 + F.least(F.lit(30.0), F.length(t) / 12.0) + F.least(F.lit(20.0), n * 1.5)
         + text_quality(text) * 0.35
     )
+
+
+def completeness(extracted: Column, total: Column) -> Column:
+    """Percent of a document's elements or a workbook's cells that were extracted, 0 without any; and a warning under 90."""
+    score = F.when(total > 0, half_up(extracted / total * 100, 2)).otherwise(0.0)
+    return F.struct(score.alias("accuracy"), F.when(score < 90, "Some elements failed to extract").alias("warning"))
